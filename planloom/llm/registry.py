@@ -1,11 +1,17 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from planloom.llm.decontaminate import OP10_SQL, op10_decontamination
+from planloom.llm.line_dedup import OP1_SQL, op1_line_dedup
 from planloom.llm.mixing import OP8_SQL, op8_mixing
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op8_mixing": op8_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": OP1_SQL,
     "op8_mixing": OP8_SQL,
+    "op10_decontamination": OP10_SQL,
 }
