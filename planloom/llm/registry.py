@@ -3,9 +3,11 @@
 from planloom.llm.decontaminate import OP10_SQL, op10_decontamination
 from planloom.llm.line_dedup import OP1_SQL, op1_line_dedup
 from planloom.llm.mixing import OP8_SQL, op8_mixing
+from planloom.llm.substring_dedup import op3_substring_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op8_mixing": op8_mixing,
     "op10_decontamination": op10_decontamination,
 }
