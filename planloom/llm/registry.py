@@ -1,6 +1,7 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from planloom.llm.decontaminate import OP10_SQL, op10_decontamination
+from planloom.llm.jaccard_join import op4_jaccard_join
 from planloom.llm.line_dedup import OP1_SQL, op1_line_dedup
 from planloom.llm.mixing import OP8_SQL, op8_mixing
 from planloom.llm.substring_dedup import op3_substring_dedup
@@ -8,6 +9,7 @@ from planloom.llm.substring_dedup import op3_substring_dedup
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op8_mixing": op8_mixing,
     "op10_decontamination": op10_decontamination,
 }
