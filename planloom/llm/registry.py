@@ -4,6 +4,7 @@ from planloom.llm.decontaminate import OP10_SQL, op10_decontamination
 from planloom.llm.jaccard_join import op4_jaccard_join
 from planloom.llm.line_dedup import OP1_SQL, op1_line_dedup
 from planloom.llm.mixing import OP8_SQL, op8_mixing
+from planloom.llm.pii import op6_pii
 from planloom.llm.quality import op7_quality
 from planloom.llm.secret_scan import op2_secret_scan
 from planloom.llm.substring_dedup import op3_substring_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op10_decontamination": op10_decontamination,
