@@ -8,12 +8,14 @@ from planloom.llm.pii import op6_pii
 from planloom.llm.quality import op7_quality
 from planloom.llm.secret_scan import op2_secret_scan
 from planloom.llm.substring_dedup import op3_substring_dedup
+from planloom.llm.topk import OP5_SQL, op5_top_k
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_top_k": op5_top_k,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
@@ -22,6 +24,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op5_top_k": OP5_SQL,
     "op8_mixing": OP8_SQL,
     "op10_decontamination": OP10_SQL,
 }
