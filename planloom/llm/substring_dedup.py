@@ -153,11 +153,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_path = shared.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "lo", "hi")).alias("one"))
     per_path = stage(per_path, "repeat-kinds")
     branching = per_path.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
+    branching = stage(branching.select("anchor"), "repeat-branching")
 
     hits = shared.join(per_path.filter("n > 1").select("anchor", "path"), ["anchor", "path"], "left_semi").select("row_key", "lo", "hi")
     hits = stage(hits.groupBy("row_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "repeat-hits")
 
-    open_runs = per_path.join(branching.select("anchor"), "anchor", "left_semi").select("one.row_key", F.struct("anchor", "one.lo", "one.hi").alias("run"))
+    open_runs = _semi(per_path, branching, "anchor").select("one.row_key", F.struct("anchor", "one.lo", "one.hi").alias("run"))
     by_text = open_runs.groupBy("row_key").agg(F.collect_set("run").alias("runs"))
     by_text = stage(by_text, "repeat-open")
     opened = _semi(rows, by_text.select("row_key")).join(by_text, "row_key")
@@ -174,7 +175,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = kept_cols.withColumn("row_key", key).join(result, "row_key", "left").select(
         *[F.col(f"`{c}`") for c in kept_cols.columns], "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("left_sha", "sha").alias("kept_sha256"), *(["kept"] if with_text else []))
-    for old in (paths, anchors, shared, per_path, hits, by_text, single, spans):
+    for old in (paths, anchors, shared, per_path, branching, hits, by_text, single, spans):
         discard(old)
     return out
 
