@@ -3,6 +3,7 @@
 from planloom.llm.decontaminate import OP10_SQL, op10_decontamination
 from planloom.llm.jaccard_join import op4_jaccard_join
 from planloom.llm.line_dedup import OP1_SQL, op1_line_dedup
+from planloom.llm.lm_score import op9_lm_score
 from planloom.llm.mixing import OP8_SQL, op8_mixing
 from planloom.llm.pii import op6_pii
 from planloom.llm.quality import op7_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
+    "op9_lm_score": op9_lm_score,
     "op10_decontamination": op10_decontamination,
 }
 
