@@ -7,13 +7,18 @@ posts the hash of each bucket's content, so a pair that qualifies always meets,
 passage that very many documents share brings nobody together, since a bucket mixes
 it with what is theirs alone. Sizes are banded, so that a pair uses one bucket count.
 
-Verification. Within the documents that met under a key, the one with the most
-company becomes leader; its elements query an inverted index over blocks of the
-others (DivideSkip: merge the short lists with a heap, probe the longest ones, keep
-those that reach the overlap T). Documents already linked through others need no
-further comparison, so a group of copies costs one comparison each. Keys under which
-components still differ go another round with new leaders, until none is left:
-every pair that met is then either compared or connected.
+With more buckets than differences such a pair even shares many keys, at least T: the
+candidates are a T-occurrence search over the keys' inverted lists. Who meets others
+under fewer than T keys is out, and of the others only the rarest keys are searched,
+as many as leave fewer than T: two documents that share T keys share one of these.
+
+Verification. Under each key all others first meet the one with the most company; its
+elements query an inverted index over blocks of the others (DivideSkip: merge the
+short lists with a heap, probe the longest ones, keep those that reach the overlap).
+That connects a group of copies with one comparison each. Then the search is run once
+more, over pairs in different components only; in rounds of a bounded number of
+candidates, should there be very many. Every pair that can qualify is thus either
+compared or connected.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
@@ -35,10 +40,13 @@ from planloom.llm.tokens import Runs, WordHashes, as_long, byte_texts, scramble
 from planloom.sources.scratch import discard, stage
 
 BLOCK = 64  # documents behind one inverted index
-LEADERS = 8  # per key, from the second round on
-BROADCAST_ROWS = 1 << 20
+PAIR_BUDGET = 1 << 26  # candidate pairs that one round of the second phase may list
+PRUNE_ROUNDS = 2
+BROADCAST_ROWS = 3_000_000  # keys of 8 bytes: some 70 MB as a hashed relation
 
-SET_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
+SET_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, posts array<struct<band:int,need:int,keys:array<long>>>"
+
+POSTS = pa.list_(pa.struct([("band", pa.int32()), ("need", pa.int32()), ("keys", pa.list_(pa.int64()))]))
 
 
 def shingles(text: bytes, size: int, cache: WordHashes) -> np.ndarray:
@@ -77,49 +85,45 @@ class Signatures:
         d = self.differ(a, self.largest_partner(a))
         return d and d + 1 + (1 if d < 8 else 2)
 
-    def of(self, s: np.ndarray) -> np.ndarray:
-        n = len(s)
+    def of(self, s: np.ndarray) -> list[dict]:
+        """Per band that a partner can share: the keys, and how many of them any partner must share."""
+        n, out = len(s), []
         if not n:
-            return s
+            return out
         band = bisect_right(self.starts, n) - 1
-        bands = [band]
-        while bands[-1] and self.largest_partner(self.starts[bands[-1]] - 1) >= n:
-            bands.append(bands[-1] - 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(scramble(s), out=sums[1:])
-        out = []
-        for b in bands:
-            m = self.buckets(b)
-            if not m:
-                continue
-            at = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            edges = np.searchsorted(at, np.arange(m + 1, dtype=np.uint64))
-            content = sums[edges[1:]] - sums[edges[:-1]]
-            keys = scramble(content + np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(b * 0xABC98388FB8FAC03 % (1 << 64)))
-            filled = edges[1:] > edges[:-1]
-            # an empty bucket is posted only where the full ones could all differ
-            if filled.sum() > self.differ(n, self.largest_partner(n)):
-                keys = keys[filled]
-            out.append(keys)
-        return np.concatenate(out) if out else s[:0]
+        partner = self.largest_partner(n)
+        while True:
+            if m := self.buckets(band):
+                at = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+                edges = np.searchsorted(at, np.arange(m + 1, dtype=np.uint64))
+                content = sums[edges[1:]] - sums[edges[:-1]]
+                keys = scramble(content + np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(band * 0xABC98388FB8FAC03 % (1 << 64)))
+                filled = edges[1:] > edges[:-1]
+                need = int(filled.sum()) - self.differ(n, partner)
+                # an empty bucket is posted only where the full ones could all differ
+                out.append({"band": band, "need": max(need, 1), "keys": (keys[filled] if need > 0 else keys).view(np.int64)})
+            partner = self.starts[band] - 1
+            if not band or self.largest_partner(partner) < n:
+                return out
+            band -= 1
 
 
 def _sets(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, signatures = WordHashes(), Signatures(num, den)
         for batch in batches:
-            counts, ids, keys = [], [], []
+            counts, ids, posts = [], [], []
             for text in byte_texts(batch.column("text")):
                 s = shingles(text, size, cache)
                 counts.append(len(s))
                 ids.append(divmod(xxh3_128_intdigest(s.tobytes()), 1 << 64) if len(s) else (0, 0))
-                keys.append(signatures.of(s))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                posts.append(signatures.of(s))
             pair = np.array(ids, np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), as_long(np.ascontiguousarray(pair[:, 0])), as_long(np.ascontiguousarray(pair[:, 1])), pa.ListArray.from_arrays(offsets, as_long(flat))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), as_long(np.ascontiguousarray(pair[:, 0])), as_long(np.ascontiguousarray(pair[:, 1])), pa.array(posts, POSTS)],
+                ["doc_id", "n_shingles", "set_a", "set_b", "posts"])
 
     return run
 
@@ -210,6 +214,30 @@ def _semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, "left_semi")
 
 
+def _able(members: DataFrame) -> DataFrame:
+    """Members with at least as many met keys in a band as any partner must share; staged."""
+    able = members.groupBy("id", "band").agg(F.count(F.lit(1)).alias("has"), F.max("need").alias("least")).filter("has >= least").select("id", "band")
+    return stage(members.join(able, ["id", "band"], "left_semi"), "link-members")
+
+
+def _rarest(members: DataFrame) -> DataFrame:
+    """Of each document's keys the rarest, as many as leave fewer than it needs.
+
+    Two documents that share what they need share one of these, as both use one order.
+    ``company`` is how many members a document's keys bring together.
+    """
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    mine = Window.partitionBy("id", "band")
+    ranked = members.join(counts, "key").select(
+        "key", "id", "size", "need", F.row_number().over(mine.orderBy("n", "key")).alias("rank"),
+        F.count(F.lit(1)).over(mine).alias("has"), F.sum("n").over(mine).alias("company"))
+    return ranked.filter("rank <= has - need + 1").select("key", "id", "size", "company")
+
+
+def _with_comp(members: DataFrame, comp: DataFrame) -> DataFrame:
+    return members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
 def _check_pairs(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(``leader``, ``id``) to the links among them, in blocks of some 32 members a leader."""
     blocks = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK // 2)).alias("blocks"))
@@ -232,57 +260,58 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = stage(rows.mapInArrow(_sets(size, num, den), SET_SCHEMA), "link-sets")
-    classes = stage(sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "link-classes")
-
-    reps = classes.select(F.col("rep").alias("doc_id")).filter("doc_id is not null")
-    posts = sets.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode_outer("keys").alias("key")).filter("key is not null")
-    posts = stage(posts, "link-posts")
-    met = stage(posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "n"), "link-keys")
+    classes = stage(sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "link-classes")
+
+    # one document of each class posts keys; the others are few, or else leave by a join
+    copies = sets.filter("n_shingles > 0").join(classes.filter("n > 1"), ["set_a", "set_b"]).filter("doc_id <> rep").select("doc_id").distinct()
+    copies = stage(copies, "link-copies")
+    few = copies.count() <= BROADCAST_ROWS
+    alone = sets.filter("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
+    posts = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), F.explode_outer("posts").alias("p")).filter("p is not null")
+    posts = posts.select("id", "size", F.col("p.band").alias("band"), F.col("p.need").alias("need"), F.explode_outer("p.keys").alias("key"))
+    met = stage(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "link-keys")
     few = met.count() <= BROADCAST_ROWS
-    posts2 = posts.join(F.broadcast(met) if few else met, "key")
-    company = posts2.groupBy("id").agg(F.sum("n").alias("company"))
-    members = stage(posts2.select("key", "id").join(company, "id"), "link-members")
-    discard(posts)
+    members = stage(posts.join(F.broadcast(met) if few else met, "key", "left_semi").distinct(), "link-met")
     discard(met)
+    discard(copies)
+    members = _able(members)
     ids = stage(members.select("id").distinct(), "link-ids")
     texts = _semi(rows.withColumnRenamed("doc_id", "id"), ids, "id")
     texts = stage(texts.dropDuplicates(["id"]), "link-texts")
 
-    links, comp, number = None, None, 0
-    while True:
-        number += 1
-        now = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        now = stage(now, "link-round")
-        rank = F.struct("company", (-F.col("id")).alias("neg"))
-        picks = [F.max(rank if number == 1 else F.when(F.pmod(F.xxhash64("id"), F.lit(LEADERS)) == j, rank)).alias(f"p{j}") for j in range(1 if number == 1 else LEADERS)]
-        heads = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *picks).filter("lo <> hi")
-        heads = stage(heads.select("key", F.explode_outer(F.array_compact(F.array(*[p for p in (f"p{j}" for j in range(len(picks)))]))).alias("p")).select("key", (-F.col("p.neg")).alias("leader")), "link-heads")
-        if heads.isEmpty():
-            break
-        of_leader = comp.select(F.col("node").alias("leader"), F.col("comp").alias("leader_comp")) if comp is not None else None
-        led = heads if of_leader is None else heads.join(of_leader, "leader", "left")
-        led = led.withColumn("leader_comp", F.coalesce("leader_comp", "leader") if of_leader is not None else F.col("leader"))
-        pairs = now.join(led, "key").filter("comp <> leader_comp").select("leader", "id").distinct()
-        pairs = stage(pairs, "link-pairs")
+    # first everybody against the one with the most company under each key ...
+    first = stage(_rarest(members), "link-first")
+    heads = first.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("leader"))
+    pairs = stage(first.join(heads, "key").filter("id <> leader").select("leader", "id").distinct(), "link-pairs")
+    links = stage(_check_pairs(pairs, texts, size, num, den), "link-found")
+    comp = connected_components(links)
+    # ... then what can still be open: pairs of different components that share enough keys
+    for _ in range(PRUNE_ROUNDS):
+        now = _with_comp(members, comp)
+        keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        still = stage(members.join(keys, "key", "left_semi"), "link-open")
+        discard(members)
+        members = _able(still)
+        discard(still)
+    rest = stage(_rarest(members), "link-rest")
+    load = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("load")).first()["load"]
+    chunks = int(load // PAIR_BUDGET) + 1
+    for chunk in range(chunks if load else 0):
+        now = stage(_with_comp(rest, comp).select("key", "id", "size", "comp"), "link-round")
+        lead = now.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).select("key", F.col("id").alias("leader"), F.col("size").alias("l_size"), F.col("comp").alias("l_comp"))
+        fits = (F.least("size", "l_size") * den >= F.greatest("size", "l_size") * num) & (F.col("comp") != F.col("l_comp")) & (F.col("leader") < F.col("id"))
+        pairs = stage(now.join(lead, "key").filter(fits).select("leader", "id").distinct(), "link-pairs")
         found = stage(_check_pairs(pairs, texts, size, num, den), "link-found")
-        links = found if links is None else links.unionByName(found)
-        if comp is not None:
-            discard(comp)
-        comp = connected_components(links)
-        # a leader is through with its key, and so is a key whose documents are one component
-        open_keys = heads.select("key").distinct()
-        rest = now.select("key", "id", "company").join(open_keys, "key", "left_semi")
-        rest = rest.join(heads.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti")
-        rest = stage(rest, "link-members")
-        for old in (now, heads, pairs, members):
-            discard(old)
-        members = rest
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comp = connected_components(links)
+        discard(now)
+        discard(pairs)
+    for old in (first, members, rest):
+        discard(old)
     discard(texts)
-    out = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
-    if comp is not None:
-        out = out.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("comp", F.col("rep"))
+    out = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.drop("n"), ["set_a", "set_b"], "left")
+    out = out.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
