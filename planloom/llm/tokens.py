@@ -7,6 +7,8 @@ operators define; the same methods of ``str`` do more.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from xxhash import xxh3_64_intdigest
@@ -30,9 +32,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def byte_texts(column: pa.Array) -> list[bytes]:
-    """UTF-8 texts of an Arrow string column; null becomes the empty text."""
-    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+def byte_texts(column: pa.Array) -> Iterator[bytes]:
+    """UTF-8 texts of an Arrow string column, a few at a time; null becomes the empty text."""
+    raw = column.cast(pa.large_binary())
+    for at in range(0, len(raw), 64):
+        for x in raw.slice(at, 64).to_pylist():
+            yield x or b""
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
