@@ -1,4 +1,14 @@
 """Queries over the driver's tables, by name, with the SQL they are held against."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from planloom.plans import (  # noqa: F401  importing a module registers its queries
+    graph_queries,
+    ordered_queries,
+    outcome_queries,
+    relational_queries,
+    replay_queries,
+    retrieval_queries,
+    text_queries,
+)
+from planloom.plans.register import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
