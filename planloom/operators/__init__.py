@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Operators over DataFrames: joins, roll-ups, windows, retrieval, graphs, replay."""

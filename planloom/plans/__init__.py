@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Registered queries over the driver's tables."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Readers, sinks and staged intermediate tables."""
