@@ -42,6 +42,11 @@ def _winnowed(grams: Column, span: int) -> Column:
     return F.when(F.size(grams) >= span, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(grams) - span), low)))
 
 
+def _place(length: int):
+    """Builder of a window's place from its start."""
+    return lambda s: F.struct(s.alias("s"), F.lit(length).alias("len"))
+
+
 def _with_grams(df: DataFrame, text_col: str, gram: int) -> DataFrame:
     df = df.withColumn("_words", word_list(F.col(text_col)))
     df = df.withColumn("_wh", F.transform("_words", lambda w: F.xxhash64(w)))
@@ -96,8 +101,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     near = F.transform(
         F.filter(F.sequence(F.lit(0), F.size("_grams") - 1), lambda i: F.array_contains(F.col("prints"), F.get(F.col("_grams"), i))),
         lambda i: F.sequence(F.greatest(i - (window - gram), F.lit(0)), F.least(i, last)))
-    places = [F.when(last >= 0, F.transform(F.array_distinct(F.flatten(near)), lambda s: F.struct(s.alias("s"), F.lit(window).alias("len"))))]
-    places += [F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(0), F.size("_words") - n), lambda s, n=n: F.struct(s.alias("s"), F.lit(n).alias("len")))) for n in short]
+    places = [F.when(last >= 0, F.transform(F.array_distinct(F.flatten(near)), _place(window)))]
+    places += [F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(0), F.size("_words") - n), _place(n))) for n in short]
     none = F.array().cast("array<struct<s:int,len:int>>")
     again = again.select("_key", "_words", F.explode_outer(F.concat(*[F.coalesce(p.cast("array<struct<s:int,len:int>>"), none) for p in places])).alias("at"))
     again = again.filter("at is not null").select("_key", "at", F.col("at.len").alias("len"), F.array_join(F.slice("_words", F.col("at.s") + 1, F.col("at.len")), " ").alias("key"))

@@ -42,6 +42,7 @@ from planloom.sources.scratch import discard, stage
 BLOCK = 64  # documents behind one inverted index
 PAIR_BUDGET = 1 << 26  # candidate pairs that one round of the second phase may list
 PRUNE_ROUNDS = 2
+LISTED = 128  # keys of a document that travel with each of its candidates
 BROADCAST_ROWS = 3_000_000  # keys of 8 bytes: some 70 MB as a hashed relation
 
 SET_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, posts array<struct<band:int,need:int,keys:array<long>>>"
@@ -220,18 +221,23 @@ def _able(members: DataFrame) -> DataFrame:
     return stage(members.join(able, ["id", "band"], "left_semi"), "link-members")
 
 
-def _rarest(members: DataFrame) -> DataFrame:
+def _rarest(members: DataFrame, listed: bool = False) -> DataFrame:
     """Of each document's keys the rarest, as many as leave fewer than it needs.
 
     Two documents that share what they need share one of these, as both use one order.
-    ``company`` is how many members a document's keys bring together.
+    ``company`` is how many members a document's keys bring together. ``listed`` adds all
+    its keys in that order, for documents of up to LISTED of them.
     """
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     mine = Window.partitionBy("id", "band")
     ranked = members.join(counts, "key").select(
-        "key", "id", "size", "need", F.row_number().over(mine.orderBy("n", "key")).alias("rank"),
+        "key", "id", "band", "size", "need", "n", F.row_number().over(mine.orderBy("n", "key")).alias("rank"),
         F.count(F.lit(1)).over(mine).alias("has"), F.sum("n").over(mine).alias("company"))
-    return ranked.filter("rank <= has - need + 1").select("key", "id", "size", "company")
+    kept = ranked.filter("rank <= has - need + 1").select("key", "id", "band", "size", "need", "company")
+    if not listed:
+        return kept.drop("band", "need")
+    lists = ranked.filter(F.col("has") <= LISTED).groupBy("id", "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "key"))), lambda x: x["key"]).alias("keys"))
+    return kept.join(lists, ["id", "band"], "left").drop("band")
 
 
 def _with_comp(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -293,13 +299,16 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         discard(members)
         members = _able(still)
         discard(still)
-    rest = stage(_rarest(members), "link-rest")
+    rest = stage(_rarest(members, listed=True), "link-rest")
     load = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("load")).first()["load"]
     chunks = int(load // PAIR_BUDGET) + 1
     for chunk in range(chunks if load else 0):
-        now = stage(_with_comp(rest, comp).select("key", "id", "size", "comp"), "link-round")
-        lead = now.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).select("key", F.col("id").alias("leader"), F.col("size").alias("l_size"), F.col("comp").alias("l_comp"))
+        now = stage(_with_comp(rest, comp).select("key", "id", "size", "need", "keys", "comp"), "link-round")
+        lead = now.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).select("key", F.col("id").alias("leader"), F.col("size").alias("l_size"), F.col("need").alias("l_need"), F.col("keys").alias("l_keys"), F.col("comp").alias("l_comp"))
         fits = (F.least("size", "l_size") * den >= F.greatest("size", "l_size") * num) & (F.col("comp") != F.col("l_comp")) & (F.col("leader") < F.col("id"))
+        # where both lists are at hand: enough keys in common, and each pair under the first of them only
+        both = F.array_intersect("keys", "l_keys")
+        fits = fits & F.coalesce((F.size(both) >= F.greatest("need", "l_need")) & (F.get(both, F.lit(0)) == F.col("key")), F.lit(True))
         pairs = stage(now.join(lead, "key").filter(fits).select("leader", "id").distinct(), "link-pairs")
         found = stage(_check_pairs(pairs, texts, size, num, den), "link-found")
         if not found.isEmpty():
