@@ -17,8 +17,10 @@ elements query an inverted index over blocks of the others (DivideSkip: merge th
 short lists with a heap, probe the longest ones, keep those that reach the overlap).
 That connects a group of copies with one comparison each. Then the search is run once
 more, over pairs in different components only; in rounds of a bounded number of
-candidates, should there be very many. Every pair that can qualify is thus either
-compared or connected.
+candidates, should there be very many. There a sketch of 1,024 parity bits per set
+leaves out whom it proves too different: an element of one set only turns one bit, so
+as many bits as two sketches differ in, the sets differ in elements at least. Every
+pair that can qualify is thus either compared or connected.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import heapq
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +46,10 @@ BLOCK = 64  # documents behind one inverted index
 PAIR_BUDGET = 1 << 26  # candidate pairs that one round of the second phase may list
 PRUNE_ROUNDS = 2
 LISTED = 128  # keys of a document that travel with each of its candidates
+SKETCH = 1024  # parity bits of a set
 BROADCAST_ROWS = 3_000_000  # keys of 8 bytes: some 70 MB as a hashed relation
 
-SET_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, posts array<struct<band:int,need:int,keys:array<long>>>"
+SET_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>, posts array<struct<band:int,need:int,keys:array<long>>>"
 
 POSTS = pa.list_(pa.struct([("band", pa.int32()), ("need", pa.int32()), ("keys", pa.list_(pa.int64()))]))
 
@@ -61,6 +65,12 @@ def shingles(text: bytes, size: int, cache: WordHashes) -> np.ndarray:
     return np.unique(runs.fixed(size))
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """One bit per class of hashes: whether a set holds an odd number of them."""
+    odd = np.bincount((scramble(s) >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def band_starts(limit: int = 1 << 40) -> list[int]:
     starts = [1]
     while starts[-1] < limit:
@@ -115,16 +125,17 @@ def _sets(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, signatures = WordHashes(), Signatures(num, den)
         for batch in batches:
-            counts, ids, posts = [], [], []
+            counts, ids, posts, sketches = [], [], [], []
             for text in byte_texts(batch.column("text")):
                 s = shingles(text, size, cache)
                 counts.append(len(s))
                 ids.append(divmod(xxh3_128_intdigest(s.tobytes()), 1 << 64) if len(s) else (0, 0))
+                sketches.append(parity_sketch(s))
                 posts.append(signatures.of(s))
             pair = np.array(ids, np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), as_long(np.ascontiguousarray(pair[:, 0])), as_long(np.ascontiguousarray(pair[:, 1])), pa.array(posts, POSTS)],
-                ["doc_id", "n_shingles", "set_a", "set_b", "posts"])
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), as_long(np.ascontiguousarray(pair[:, 0])), as_long(np.ascontiguousarray(pair[:, 1])), pa.array(sketches, pa.list_(pa.int64())), pa.array(posts, POSTS)],
+                ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "posts"])
 
     return run
 
@@ -240,6 +251,11 @@ def _rarest(members: DataFrame, listed: bool = False) -> DataFrame:
     return kept.join(lists, ["id", "band"], "left").drop("band")
 
 
+def _bits_apart(a: str, b: str) -> F.Column:
+    words = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH // 64)]
+    return reduce(lambda x, y: x + y, words)
+
+
 def _with_comp(members: DataFrame, comp: DataFrame) -> DataFrame:
     return members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
@@ -299,13 +315,16 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         discard(members)
         members = _able(still)
         discard(still)
-    rest = stage(_rarest(members, listed=True), "link-rest")
+    rest = _rarest(members, listed=True)
+    sketches = _semi(sets.select(F.col("doc_id").alias("id"), "sketch"), stage(rest.select("id").distinct(), "link-ids"), "id").dropDuplicates(["id"])
+    rest = stage(rest.join(sketches, "id"), "link-rest")
     load = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("load")).first()["load"]
     chunks = int(load // PAIR_BUDGET) + 1
     for chunk in range(chunks if load else 0):
-        now = stage(_with_comp(rest, comp).select("key", "id", "size", "need", "keys", "comp"), "link-round")
-        lead = now.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).select("key", F.col("id").alias("leader"), F.col("size").alias("l_size"), F.col("need").alias("l_need"), F.col("keys").alias("l_keys"), F.col("comp").alias("l_comp"))
+        now = stage(_with_comp(rest, comp).select("key", "id", "size", "need", "keys", "sketch", "comp"), "link-round")
+        lead = now.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).select("key", F.col("id").alias("leader"), F.col("size").alias("l_size"), F.col("need").alias("l_need"), F.col("keys").alias("l_keys"), F.col("sketch").alias("l_sketch"), F.col("comp").alias("l_comp"))
         fits = (F.least("size", "l_size") * den >= F.greatest("size", "l_size") * num) & (F.col("comp") != F.col("l_comp")) & (F.col("leader") < F.col("id"))
+        fits = fits & (_bits_apart("sketch", "l_sketch") * (den + num) <= (F.col("size") + F.col("l_size")) * (den - num))
         # where both lists are at hand: enough keys in common, and each pair under the first of them only
         both = F.array_intersect("keys", "l_keys")
         fits = fits & F.coalesce((F.size(both) >= F.greatest("need", "l_need")) & (F.get(both, F.lit(0)) == F.col("key")), F.lit(True))

@@ -92,6 +92,14 @@ def test_signatures_always_meet():
             assert any(len(pa_[k][1] & pb[k][1]) >= max(pa_[k][0], pb[k][0]) for k in pa_.keys() & pb.keys())
 
 
+def test_sketches_never_differ_by_more_than_the_sets():
+    rnd = np.random.default_rng(6)
+    for _ in range(300):
+        a, b = (np.unique(rnd.integers(0, 400, int(rnd.integers(0, 300))).astype(np.uint64)) for _ in range(2))
+        bits = sum(int(x).bit_count() for x in (jaccard_join.parity_sketch(a) ^ jaccard_join.parity_sketch(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+
+
 # --- 5 top-k
 def test_op5_ties_nulls_and_duplicates(spark):
     rnd = random.Random(5)
