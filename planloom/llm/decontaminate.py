@@ -21,7 +21,6 @@ from planloom.sources.scratch import discard, stage
 WINDOW = 10
 #: A word: a run of digits, letters a-z and anything beyond ASCII, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 OUT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
@@ -114,7 +113,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     out = kept.withColumn("_key", text_key(F.col(text_col))).join(found, "_key", "left").select(
         *[F.col(f"`{c}`") for c in kept.columns],
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce(F.array_size(word_list(F.col(text_col))), F.lit(0)).cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
