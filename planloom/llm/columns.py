@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
+#: What stands between words: space, tab, line feed, vertical tab, form feed and carriage return.
+GAPS = r"[\x20\x09-\x0D]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -19,7 +19,7 @@ def ascii_lower(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null and empty texts."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.array_size(F.array_remove(F.split(text, GAPS, -1), "")), F.lit(0)).cast("long")
 
 
 def text_key(text: Column) -> Column:
