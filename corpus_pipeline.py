@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns the
 columns of ``documents``; the last adds how the mix takes each document. SQL can
-express neither the classifier nor the components, so there is no ORACLE_SQL; the
-stages are tested against brute force instead.
+express neither the classifier nor the components, so there is no ORACLE_SQL. The
+operators behind the stages have tests of their own; the stages have none yet.
 """
 
 from __future__ import annotations
