@@ -230,6 +230,18 @@ def test_op9_counts_and_base_score(spark):
         assert r.score < 0
 
 
+def test_op9_fits_to_every_training_text(spark):
+    """More texts than the 3,000 that were once the most: every place of each is learned from."""
+    texts = spark.range(3_500).select(F.col("id").cast("string").alias("key"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    ids = [lm_score.subwords(lm_score.encoder(lm_score.VOCABULARY), w.encode()) for w in ["word", *map(str, range(3_500))]]
+    counts = np.ones(lm_score.encoder(lm_score.VOCABULARY).n_vocab + 1)
+    classes = lm_score.Classes(counts)
+    model = lm_score.Attention(classes.number, classes.log_prior)
+    before = {k: v.copy() for k, v in model.p.items()}
+    assert lm_score.fit(texts, model, classes, 7_000, lm_score.VOCABULARY) == 3_500 * (len(ids[0]) + 1) + sum(map(len, ids[1:]))
+    assert all((before[k] != model.p[k]).any() for k in before)
+
+
 def test_op9_model_sums_to_one_and_is_causal():
     r = np.random.default_rng(1)
     m = lm_score.Attention(9, np.zeros(9, np.float32))
