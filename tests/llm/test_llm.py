@@ -236,9 +236,9 @@ def test_op9_fits_to_every_training_text(spark):
     ids = [lm_score.subwords(lm_score.encoder(lm_score.VOCABULARY), w.encode()) for w in ["word", *map(str, range(3_500))]]
     counts = np.ones(lm_score.encoder(lm_score.VOCABULARY).n_vocab + 1)
     classes = lm_score.Classes(counts)
-    model = lm_score.Attention(classes.number, classes.log_prior)
+    model = lm_score.Attention(classes.number, classes.log_prior, of=classes.of, tree=classes.tree)
     before = {k: v.copy() for k, v in model.p.items()}
-    assert lm_score.fit(texts, model, classes, 7_000, lm_score.VOCABULARY) == 3_500 * (len(ids[0]) + 1) + sum(map(len, ids[1:]))
+    assert lm_score.fit(texts, model, 7_000, lm_score.VOCABULARY) == 3_500 * (len(ids[0]) + 1) + sum(map(len, ids[1:]))
     assert all((before[k] != model.p[k]).any() for k in before)
 
 
@@ -253,6 +253,41 @@ def test_op9_model_sums_to_one_and_is_causal():
     assert np.allclose(m.forward(x)[0].reshape(4, 16, 9)[:, :4], m.forward(y)[0].reshape(4, 16, 9)[:, :4], atol=1e-5)
 
 
+def test_op9_ids_sum_to_one_and_context_is_ids():
+    """Ids of a class are told apart as context and as targets; without weights a target has its share of the class."""
+    r = np.random.default_rng(2)
+    counts = r.integers(1, 50, 400).astype(float)
+    c = lm_score.Classes(counts)
+    m = lm_score.Attention(c.number, c.log_prior, of=c.of, tree=c.tree)
+    x = np.repeat(r.integers(0, 400, (1, 32)), 400, axis=0)
+    goals = np.tile(np.arange(400)[:, None], (1, 16))
+    plain = m.log10_of(x, c.of[goals], goals) - m.log10_of(x, c.of[goals])
+    assert np.allclose(plain, c.share[goals], atol=1e-4)
+    for k in ("w", "u"):
+        m.p[k] = r.normal(size=m.p[k].shape).astype(np.float32)
+    m.__dict__.pop("embedding")
+    assert np.allclose((10 ** m.log10_of(x, c.of[goals], goals)).sum(axis=0), 1, atol=1e-3)
+    band = np.flatnonzero(c.of == c.number - 1)[:2]
+    y = x[:1].copy()
+    y[:, 3] = band[0]
+    other = y.copy()
+    other[:, 3] = band[1]
+    assert not np.allclose(m.forward(y)[0], m.forward(other)[0])
+    # gradients against differences
+    t = np.full((1, 16), band[0])
+    g = m.zeros()
+    m.gradients(y, c.of[t], np.ones((1, 16), np.float32), t, g)
+    loss = lambda: -m.log10_of(y, c.of[t], t).sum(dtype=np.float64) * np.log(10)
+    for k, at in (("w", (band[0], 2)), ("u", (int(c.tree.ways(t[0][:1])[1][0]), 1)), ("t", (3, 1)), ("q", (1, 2)), ("o", (2, 1))):
+        was, both = m.p[k][at], []
+        for move in (1e-2, -1e-2):
+            m.p[k][at] = was + move
+            m.__dict__.pop("embedding", None)
+            both.append(loss())
+        m.p[k][at] = was
+        assert (both[0] - both[1]) / 2e-2 == pytest.approx(g[k][at], rel=0.05, abs=0.02)
+
+
 def test_op9_windows_score_each_place_once():
     bounds = np.array([0, 1, 18, 60])
     _, at, ok = lm_score.windows(np.arange(60), bounds, 99)
