@@ -2,8 +2,8 @@
 
 The patterns fix the base spans, which always stay. Every other long mixed run of key
 characters is a candidate: its characters and those around it go through a small
-convolutional network, and those above their group's threshold are added as kind
-``cnn``. The network is trained in numpy on labelled findings from a seeded
+convolutional network, a long one in windows that overlap by half, and those whose
+highest score is above their group's threshold are added as kind ``cnn``. The network is trained in numpy on labelled findings from a seeded
 generator; scores are calibrated on a part that was not trained on, and each group's
 threshold is the highest that keeps the asked share of that part's secrets.
 """
@@ -66,11 +66,42 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     return out
 
 
+def starts(start: int, end: int) -> list[int]:
+    """Where the windows of a candidate begin: each half a window on, the last one ends with the candidate."""
+    return [*range(start, end - INSIDE, INSIDE // 2), max(start, end - INSIDE)]
+
+
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    parts = (text[max(0, start - BEFORE):start].rjust(BEFORE, "\0"), text[start:min(end, start + INSIDE)].ljust(INSIDE, "\0"), text[end:end + AFTER].ljust(AFTER, "\0"))
+    """A candidate's first window: up to INSIDE of its characters, those before it and those after its end."""
+    return encode_window(text, start, end, start)
+
+
+def encode_window(text: str, start: int, end: int, at: int) -> np.ndarray:
+    """The window at ``at``, between what stands before the candidate and what stands after it."""
+    parts = (text[max(0, start - BEFORE):start].rjust(BEFORE, "\0"), text[at:min(end, at + INSIDE)].ljust(INSIDE, "\0"), text[end:end + AFTER].ljust(AFTER, "\0"))
     return np.array([0 if c == "\0" else CODES.get(c, 1) for c in "".join(parts)], np.uint8)
 
 
+def highest(net, found: list[tuple[str, int, int]], batch: int = 2048) -> np.ndarray:
+    """Highest probability over the windows of each candidate (text, start, end); a batch of windows at a time."""
+    best = np.zeros(len(found))
+    owner, rows = [], []
+
+    def flush():
+        np.maximum.at(best, owner, net.probability(np.stack(rows)))
+        owner.clear(), rows.clear()
+
+    for i, (text, start, end) in enumerate(found):
+        for at in starts(start, end):
+            owner.append(i)
+            rows.append(encode_window(text, start, end, at))
+            if len(rows) == batch:
+                flush()
+    if rows:
+        flush()
+    return best
+
+
 def assigned(text: str, start: int) -> int:
     """Group of a candidate: 1 if what stands right before it gives it to a name."""
     return int(bool(re.search(r"[:=][\x20\"']*$", text[max(0, start - 8):start])))
@@ -132,8 +163,8 @@ class CharNet:
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x, y, groups, recall: float):
-        """Platt scaling, then the highest threshold of each group that keeps ``recall`` of its secrets."""
+    def calibrate(self, x, y):
+        """Platt scaling."""
         z, a, m = self.forward(x)[0], 1.0, 0.0
         for _ in range(200):
             p = 1 / (1 + np.exp(-(a * z + m)))
@@ -142,15 +173,21 @@ class CharNet:
             step = np.linalg.solve(h, np.array([np.sum((p - y) * z), np.sum(p - y)]))
             a, m = a - 0.5 * step[0], m - 0.5 * step[1]
         self.a, self.m = float(a), float(m)
-        p = self.probability(x)
-        self.groups = tuple(max(0.5, float(np.quantile(p[(groups == g) & (y == 1)], 1 - recall, method="lower"))) for g in (0, 1))
+
+    def choose(self, p, y, groups, recall: float):
+        """The highest threshold of each group that keeps ``recall`` of its secrets, whose probabilities are ``p``."""
+        self.groups = tuple(float(np.quantile(p[(groups == g) & (y == 1)], 1 - recall, method="lower")) for g in (0, 1))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.a * self.forward(x)[0] + self.m, -50, 50)))
 
 
-def labelled_findings(count: int, seed: int):
-    """Seeded findings with labels: (text, start, end, secret or not)."""
+def labelled_findings(count: int, seed: int, long: bool = False):
+    """Seeded findings with labels: (text, start, end, secret or not).
+
+    ``long``: some are longer than a window, their secret behind a harmless head; a fifth
+    item is where the secret begins.
+    """
     r = random.Random(seed)
     letters, lower, upper, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
@@ -183,26 +220,48 @@ def labelled_findings(count: int, seed: int):
             lambda: word().upper() + "-" + pick(digits, 4) + "-" + word().upper(),
         ])()
 
+    def long_harmless():
+        return r.choice(["/", "_", "-"]).join([*(word() for _ in range(r.randint(8, 30))), word() + pick(digits, r.randint(1, 3))])
+
     out = []
     while len(out) < count:
         good = r.random() < 0.5
-        body = secret() if good else harmless()
+        body, hidden = secret() if good else harmless(), 0
+        if long and r.random() < 0.3:
+            if good:  # after a head of its own, often longer than a window
+                head = r.choice(["/", "_", "-"]).join(word() for _ in range(r.randint(4, 24))) + r.choice(["/", "=", "_"])
+                body, hidden = head + body, len(head)
+            else:
+                body = long_harmless()
         lead = r.choice([prose() + " ", prose() + f" {r.choice(names if good or r.random() < 0.2 else plain)}{r.choice([' = ', ': ', '=', ' = ' + chr(34), ': ' + chr(39)])}"])
         text = lead + body + r.choice([" ", '" ', ". ", "\n", ", "]) + prose()
         if RUN.fullmatch(body):
-            out.append((text, len(lead), len(lead) + len(body), int(good)))
+            out.append((text, len(lead), len(lead) + len(body), int(good), len(lead) + hidden) if long else (text, len(lead), len(lead) + len(body), int(good)))
     return out
 
 
 @lru_cache(maxsize=4)
 def trained(findings: int = FINDINGS, recall: float = RECALL, seed: int = 7) -> CharNet:
-    rows = labelled_findings(findings, seed)
-    x = np.stack([encode(t, s, e) for t, s, e, _ in rows])
-    y = np.array([v for *_, v in rows], np.float64)
+    rows = labelled_findings(findings, seed, long=True)
+    y = np.array([v for *_, v, _ in rows], np.float64)
     g = np.array([assigned(t, s) for t, s, *_ in rows])
     net, cut = CharNet(seed), findings * 3 // 4
-    net.train(x[:cut], y[:cut], rounds=6, rate=0.01, seed=seed)
-    net.calibrate(x[cut:], y[cut:], g[cut:], recall)
+
+    def windows(part):
+        """Labelled windows: a secret's are those with at least 12 of its characters, or its most; fewer are left out, and none make it harmless."""
+        x, label = [], []
+        for t, s, e, v, body in part:
+            at = starts(s, e)
+            held = [min(e, a + INSIDE) - max(a, body) for a in at]
+            for a, n in zip(at, held):
+                if not v or n >= min(12, max(held)) or n <= 0:
+                    x.append(encode_window(t, s, e, a))
+                    label.append(v and n > 0)
+        return np.stack(x), np.array(label, np.float64)
+
+    net.train(*windows(rows[:cut]), rounds=6, rate=0.01, seed=seed)
+    net.calibrate(*windows(rows[cut:]))
+    net.choose(highest(net, [r[:3] for r in rows[cut:]]), y[cut:], g[cut:], recall)
     return net
 
 
@@ -217,12 +276,9 @@ def _scan(net: CharNet, names: list[str]):
             bases = [base_spans(t) for t in texts]
             found = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t, bases[i])]
             spans = [list(b) for b in bases]
-            for at in range(0, len(found), 2048):
-                part = found[at : at + 2048]
-                p = net.probability(np.stack([encode(texts[i], s, e) for i, s, e in part]))
-                for (i, s, e), q in zip(part, p):
-                    if q >= net.groups[assigned(texts[i], s)]:
-                        spans[i].append(("cnn", s, e))
+            for (i, s, e), q in zip(found, highest(net, [(texts[i], s, e) for i, s, e in found])):
+                if q >= net.groups[assigned(texts[i], s)]:
+                    spans[i].append(("cnn", s, e))
             for s in spans:
                 s.sort(key=lambda x: (x[1], KINDS.index(x[0])))
             count = lambda kind: pa.array([sum(k == kind for k, *_ in b) for b in bases], pa.int64())

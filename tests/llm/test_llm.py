@@ -137,6 +137,25 @@ def test_op2_held_out_recall():
     assert sure[y == 1].mean() > 0.9 and sure[y == 0].mean() < 0.05
 
 
+def test_op2_secret_behind_a_long_head(spark):
+    """What stands after the first 36 characters is read, and each group keeps its share of the secrets it was calibrated on."""
+    key = "a8Kd92Lmq0ZxT7vB3nQw5RyU1cEo"
+    heads = ["services/hooks/incoming/notifications/team/" , "region_name_and_account_and_user_and_service_key=", "/".join(["bana", "tore", "kin"] * 30) + "/"]
+    rows = {r.doc_id: r.spans for r in secret_scan.scan_secrets(docs_of(spark, [f"see {h}{key} now" for h in heads])).collect()}
+    assert [rows[i] for i in range(3)] == [f"cnn:4:{4 + len(h) + len(key)}" for h in heads]
+    assert secret_scan.starts(0, 36) == [0] and secret_scan.starts(5, 100) == [5, 23, 41, 59, 64]
+    net, found = secret_scan.trained(), secret_scan.labelled_findings(secret_scan.FINDINGS, 7, long=True)[secret_scan.FINDINGS * 3 // 4 :]
+    p = secret_scan.highest(net, [f[:3] for f in found])
+    for g in (0, 1):
+        mine = np.array([f[3] == 1 and secret_scan.assigned(*f[:2]) == g for f in found])
+        kept = p[mine] >= net.groups[g]
+        assert kept.mean() >= secret_scan.RECALL and (p[mine] > net.groups[g]).mean() < secret_scan.RECALL
+    other = secret_scan.labelled_findings(800, 78, long=True)
+    p = secret_scan.highest(net, [f[:3] for f in other])
+    sure, y = p >= np.array([net.groups[secret_scan.assigned(*f[:2])] for f in other]), np.array([f[3] for f in other])
+    assert sure[y == 1].mean() > 0.9 and sure[y == 0].mean() < 0.05, (sure[y == 1].mean(), sure[y == 0].mean())
+
+
 def test_op2_long_text_is_linear():
     secret_scan.candidates("a" * 300_000 + " 1", [])
     secret_scan.base_spans("token" * 50_000 + ":")
