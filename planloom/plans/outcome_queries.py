@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from planloom.functions.numeric import difficulty, mcnemar, or_unknown, ratio0
@@ -209,6 +211,48 @@ def sign_flip(spark, d):
     return masks.agg(F.max(F.size("effects")).cast("long").alias("families"), F.round(F.avg((mean >= seen - 1e-12).cast("double")), 9).alias("p_value"))
 
 
+def sign_flip_share(spark, effects: list[float]) -> float:
+    """Share of all 2^k sign patterns whose mean is at least as far from 0 as the one seen; exact.
+
+    The sums of up to 20 effects are sorted once; the patterns of the others are a
+    distributed table, and each finds by bisection how many of the sorted sums go with it.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    k = len(effects)
+    if not k:
+        return float("nan")
+    if k > 60:
+        raise ValueError(f"{k} families have too many sign patterns for the exact test")
+    values = np.array(effects, float)
+    near = min(k // 2, 20)
+    sums = lambda masks, x: (1 - 2 * ((masks[:, None] >> np.arange(len(x))) & 1)).astype(float) @ x
+    least = abs(values.sum()) - 1e-12 * k
+    if least <= 0:
+        return 1.0
+    known = spark.sparkContext.broadcast((np.sort(np.concatenate([sums(np.arange(a, min(a + 65_536, 1 << near)), values[:near]) for a in range(0, 1 << near, 65_536)])), values[near:], least))
+
+    def count(batches):
+        known_sums, far, bound = known.value
+        for batch in batches:
+            a = sums(batch.column("id").to_numpy(), far)
+            above = len(known_sums) - np.searchsorted(known_sums, bound - a, "left")
+            below = np.searchsorted(known_sums, -bound - a, "right")
+            yield pa.RecordBatch.from_arrays([pa.array([int(above.sum() + below.sum())], pa.int64())], ["n"])
+
+    n = spark.range(1 << (k - near)).mapInArrow(count, "n long").agg(F.sum(F.col("n").cast("decimal(38,0)"))).first()[0]
+    return int(n) / (1 << k)
+
+
+@query("sign_flip_all")
+def sign_flip_all(spark, d):
+    """As ``sign_flip``, over every source: its SQL, which makes each pattern, keeps to the first of them."""
+    e = outcomes(spark, d).groupBy("source").agg((F.avg(F.col("good").cast("double")) - F.avg(1 - F.col("toxic").cast("double"))).alias("effect"))
+    effects = [r["effect"] for r in e.filter("effect is not null").orderBy("source").collect()]
+    return spark.createDataFrame([(len(effects), round(sign_flip_share(spark, effects), 9))], "families long, p_value double")
+
+
 @query("paired_difference", """select lang, round(avg(quality - toxic), 9) as mean_difference, count(*) as n from documents join labels using (doc_id) group by lang""")
 def paired_difference(spark, d):
     o = outcomes(spark, d)
@@ -237,16 +281,62 @@ def cluster_bootstrap(spark, d):
     return f.groupBy("lang").applyInPandas(_bootstrap(10_000), "lang string, uplift double, low double, high double, family_uplift double, family_low double, family_high double")
 
 
-@query("paired_bootstrap", """select lang, round(avg(quality - toxic), 9) as uplift, true as inside from documents join labels using (doc_id) group by lang""")
-def paired_bootstrap(spark, d):
-    """Percentile interval of the mean difference: every row is drawn Poisson(1) times in each of 200 resamples, so nothing is gathered."""
-    diff = outcomes(spark, d).select("lang", "doc_id", (F.col("good").cast("int") - F.col("toxic").cast("int")).cast("double").alias("x"))
-    u = F.pmod(F.xxhash64("doc_id", "b"), F.lit(1_000_003)) / 1_000_003.0
-    # inverse of the Poisson(1) distribution, from its first steps
-    times = sum(((u > F.lit(c)).cast("int") for c in (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518)), F.lit(0))
-    draws = diff.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(200)))).withColumn("w", times)
-    means = draws.groupBy("lang", "b").agg((F.sum(F.col("x") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
+RESAMPLES = 2_000
+
+
+def bootstrap_bounds(diff, resamples: int = RESAMPLES):
+    """(``lang``, ``uplift``, ``low``, ``high``) of (lang, doc_id, x): mean difference and its percentile interval.
+
+    Every row is drawn Poisson(1) times in each resample, by hash of its id. Tasks add up
+    their rows' sums for each resample, so no row is repeated and nothing is gathered.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
+    salts = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def add(batches):
+        sums = {}
+
+        def rows():
+            langs = pa.array([g for g in sums for _ in range(resamples)], pa.string())
+            both = np.concatenate(list(sums.values()), axis=1)
+            sums.clear()
+            return pa.RecordBatch.from_arrays([langs, pa.array(np.tile(np.arange(resamples), len(langs) // resamples)), pa.array(both[0]), pa.array(both[1])], ["lang", "b", "x", "w"])
+
+        for batch in batches:
+            for lang, h, x in zip(batch.column("lang").to_pylist(), batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("x").to_pylist()):
+                z = salts + h
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(steps, (z ^ (z >> np.uint64(31))) / 2.0**64, "right").astype(float)
+                if lang not in sums:
+                    sums[lang] = np.zeros((2, resamples))
+                sums[lang] += np.stack([w * x, w])
+                if len(sums) > 200:
+                    yield rows()
+        if sums:
+            yield rows()
+
+    diff = diff.filter("x is not null")
+    parts = diff.select("lang", F.xxhash64("doc_id").alias("h"), "x").mapInArrow(add, "lang string, b long, x double, w double")
+    means = parts.groupBy("lang", "b").agg((F.sum("x") / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
     bounds = means.groupBy("lang").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     point = diff.groupBy("lang").agg(F.avg("x").alias("uplift"))
-    return point.join(bounds, "lang").select("lang", F.round("uplift", 9).alias("uplift"), ((F.col("uplift") >= F.col("ci")[0]) & (F.col("uplift") <= F.col("ci")[1])).alias("inside"))
+    return point.join(bounds, point["lang"].eqNullSafe(bounds["lang"])).select(point["lang"], "uplift", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))
+
+
+def paired(spark, d):
+    return outcomes(spark, d).select("lang", "doc_id", (F.col("good").cast("int") - F.col("toxic").cast("int")).cast("double").alias("x"))
+
 
+@query("paired_bootstrap_bounds")
+def paired_bootstrap_bounds(spark, d):
+    return bootstrap_bounds(paired(spark, d))
+
+
+@query("paired_bootstrap", """select lang, round(avg(quality - toxic), 9) as uplift, true as inside from documents join labels using (doc_id) group by lang""")
+def paired_bootstrap(spark, d):
+    """Whether the mean difference lies in the interval of ``paired_bootstrap_bounds``; its SQL knows that only."""
+    return bootstrap_bounds(paired(spark, d)).select("lang", F.round("uplift", 9).alias("uplift"), ((F.col("uplift") >= F.col("low")) & (F.col("uplift") <= F.col("high"))).alias("inside"))

@@ -127,3 +127,34 @@ def test_stream(spark, tmp_path):
     q = windowed_outcomes(s, "ts", ["event_type"], F.col("event_type") == "purchase").writeStream.format("memory").queryName("w").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("w").agg(F.sum("n")).first()[0] == spark.read.parquet(src).count()
+
+
+def test_sign_flip_counts_every_pattern(spark):
+    import itertools
+
+    from planloom.plans.outcome_queries import sign_flip_share
+
+    for effects in ([0.3], [0.5, -0.25, 0.125, 0.25, 0.25], [0.1 * i - 0.3 for i in range(11)], [0.0, 0.0]):
+        sums = [abs(sum(s * x for s, x in zip(signs, effects))) for signs in itertools.product((1, -1), repeat=len(effects))]
+        assert sign_flip_share(spark, effects) == sum(x >= abs(sum(effects)) - 1e-12 * len(effects) for x in sums) / len(sums)
+    assert sign_flip_share(spark, [1.0] * 30) == 2 / 2**30
+
+
+def test_sign_flip_all_takes_every_source(spark):
+    from planloom.catalog import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    assert QUERIES["sign_flip_all"](spark, d).first()["families"] == docs.join(labels, "doc_id").select("source").distinct().count()
+
+
+def test_bootstrap_bounds(spark):
+    import numpy as np
+
+    from planloom.plans.outcome_queries import RESAMPLES, bootstrap_bounds
+
+    x = np.random.default_rng(4).integers(-1, 2, 400).astype(float)
+    r = bootstrap_bounds(spark.createDataFrame([("en", i, float(v)) for i, v in enumerate(x)], "lang string, doc_id long, x double")).first()
+    half = 1.96 * x.std() / np.sqrt(len(x))
+    assert RESAMPLES == 2_000 and abs(r["uplift"] - x.mean()) < 1e-9
+    assert abs(r["low"] - (x.mean() - half)) < half / 6 and abs(r["high"] - (x.mean() + half)) < half / 6
