@@ -8,6 +8,7 @@ from planloom.functions.numeric import clamp01, dot, jaccard, unit
 from planloom.functions.text import tokens
 from planloom.operators.relational import ranked
 from planloom.operators.retrieval import bm25_topk, jaccard_topk
+from planloom.operators.search import Overlap, search_all
 from planloom.plans.register import query, table
 
 TOK = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
@@ -77,6 +78,44 @@ def cosine_topk(spark, d):
     return ranked(s, ["q"], [F.col("score").desc(), F.col("doc")], 3)
 
 
+def structured_scores(asked):
+    names, kinds, sizes = Overlap(asked["n"].to_pylist()), Overlap(asked["t"].to_pylist()), asked["size"].to_pandas().to_numpy()
+    return lambda row: (0.4 * names(row["n"]) + 0.3 * kinds(row["t"]) + 0.2 * (sizes == row["size"])) / 0.9
+
+
+@query("structured_topk_all")
+def structured_topk_all(spark, d):
+    """As ``structured_topk``, against parts of every brand. Queries: keys divisible by 20."""
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.lit(0).cast("long").alias("part"), F.col("p_size").alias("size"), tokens(F.col("p_name")).alias("n"), tokens(F.col("p_type")).alias("t"))
+    return search_all(p.filter("id % 20 = 0"), p, structured_scores, 3).select("q", "rank", "doc", "score")
+
+
+def memory_scores(asked):
+    texts, roles, kinds = Overlap(asked["t"].to_pylist()), asked["role"].to_pandas().to_numpy(), asked["id"].to_numpy() % 5
+    return lambda row: texts(row["t"]) + ((roles == row["role"]) & (row["role"] is not None)) + 0.25 * (kinds == row["id"] % 5)
+
+
+@query("memory_topk_all")
+def memory_topk_all(spark, d):
+    """As ``memory_topk``, every turn against every turn of the other conversations. Queries: conversations divisible by 20."""
+    m = table(spark, d, "conversations").filter("text is not null").select(F.col("conv_id").cast("long").alias("id"), F.col("turn").cast("long").alias("part"), "role", tokens(F.col("text")).alias("t"))
+    return search_all(m.filter("id % 20 = 0"), m, memory_scores, 1).select("q", F.col("q_part").alias("q_turn"), "doc", F.col("doc_part").alias("doc_turn"), "score")
+
+
+def cosine_scores(asked):
+    import numpy as np
+
+    vectors = np.array(asked["e"].to_pylist(), float)
+    return lambda row: vectors @ np.array(row["e"], float)
+
+
+@query("cosine_topk_all")
+def cosine_topk_all(spark, d):
+    """As ``cosine_topk``, against vectors of every label; those without a direction have no score. Queries: ids divisible by 20."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.lit(0).cast("long").alias("part"), unit(F.transform("embedding", lambda x: x.cast("double"))).alias("e")).filter("e is not null and not exists(e, x -> x is null or isnan(x))")
+    return search_all(v.filter("id % 20 = 0"), v, cosine_scores, 3).select("q", "rank", "doc", "score")
+
+
 @query("state_alignment", """
 with u as (select user_id, list_sort(list_distinct(list(event_type))) as k from events where value > 90 group by 1)
 select a.user_id as a, b.user_id as b, round(len(list_intersect(a.k, b.k))::double / len(list_distinct(list_concat(a.k, b.k))), 9) as alignment, round(len(list_intersect(a.k, b.k))::double / len(a.k), 9) as overlap

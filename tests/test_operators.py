@@ -1,6 +1,7 @@
 """Small fixtures that pin semantics."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,30 @@ def test_bootstrap_bounds(spark):
     half = 1.96 * x.std() / np.sqrt(len(x))
     assert RESAMPLES == 2_000 and abs(r["uplift"] - x.mean()) < 1e-9
     assert abs(r["low"] - (x.mean() - half)) < half / 6 and abs(r["high"] - (x.mean() + half)) < half / 6
+
+
+def test_searches_meet_every_row(spark):
+    """Vectors of every label, parts of every brand and every turn are met, against brute force."""
+    import numpy as np
+
+    from planloom.catalog import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    got = sorted((r["q"], r["rank"], r["doc"]) for r in QUERIES["cosine_topk_all"](spark, d).collect())
+    cos = lambda a, b: round(float(a @ b) / float(np.sqrt(a @ a) * np.sqrt(b @ b)), 6)
+    want = [(q, n + 1, j) for q in vectors if q % 20 == 0 for n, (_, j) in enumerate(sorted((-cos(vectors[q], v), j) for j, v in vectors.items() if j != q)[:3])]
+    assert got == sorted(want)
+
+    words = lambda x: set(re.findall("[a-z0-9_]+", (x or "").lower()))
+    over = lambda a, b: len(a & b) / max(len(a | b), 1)
+    turns = [(r["conv_id"], r["turn"], r["role"], words(r["text"])) for r in spark.read.parquet(f"{d}/conversations.parquet").collect() if r["text"] is not None]
+    got = sorted((r["q"], r["q_turn"], r["doc"], r["doc_turn"]) for r in QUERIES["memory_topk_all"](spark, d).collect())
+    score = lambda a, b: round(over(a[3], b[3]) + (a[2] == b[2]) + 0.25 * (a[0] % 5 == b[0] % 5), 6)
+    assert got == sorted((*a[:2], *min((-score(a, b), *b[:2]) for b in turns if b[0] != a[0])[1:]) for a in turns if a[0] % 20 == 0)
+
+    parts = [(r["p_partkey"], r["p_size"], words(r["p_name"]), words(r["p_type"])) for r in spark.read.parquet(f"{d}/part.parquet").collect()]
+    got = sorted((r["q"], r["rank"], r["doc"]) for r in QUERIES["structured_topk_all"](spark, d).collect())
+    score = lambda a, b: round((0.4 * over(a[2], b[2]) + 0.3 * over(a[3], b[3]) + 0.2 * (a[1] == b[1])) / 0.9, 6)
+    want = [(a[0], n + 1, j) for a in parts if a[0] % 20 == 0 for n, (_, j) in enumerate(sorted((-score(a, b), b[0]) for b in parts if b[0] != a[0])[:3])]
+    assert got == sorted(want)
