@@ -32,4 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(cur)
         cur = nxt
     out = cur.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return stage(out.unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "comp-nodes")
+    out = stage(out.unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "comp-nodes")
+    discard(cur)
+    discard(nxt)
+    return out

@@ -16,7 +16,7 @@ from xxhash import xxh3_64_intdigest
 #: Hash multiplier; odd, so powers have inverses modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 
 
 class WordHashes(dict):

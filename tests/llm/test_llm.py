@@ -348,3 +348,12 @@ def test_empty_tables_and_clashing_names(spark):
         assert out.columns.count(name) == 1 and out.count() == 2, name
         assert {r[name] for r in out.collect()} != {"mine"}, name
         assert run(clash.filter("doc_id < 0")).count() == 0, name
+
+
+def test_op3_is_exact_when_word_hashes_collide(spark):
+    """Anchors are chosen by hashes, here of one bit a word; what is removed is decided by the words."""
+    rnd = random.Random(21)
+    texts = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([40, 70])))) for i in range(30)]
+    texts += [(40 + i, " ".join(texts[i][1].split()[: 36 + i])) for i in range(4)] + [(50, "la " * 200)]
+    got = sorted(tuple(r) for r in substring_dedup.remove_repeats(docs_of(spark, texts), hash_bits=1).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert got == sorted(brute.repeats(texts))
