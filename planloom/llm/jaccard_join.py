@@ -27,9 +27,10 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ BLOCK = 64  # documents behind one inverted index
 PAIR_BUDGET = 1 << 26  # candidate pairs that one round of the second phase may list
 PRUNE_ROUNDS = 2
 LISTED = 128  # keys of a document that travel with each of its candidates
+HEAVY = 256  # rows of a key that are not brought together to be joined
 SKETCH = 1024  # parity bits of a set
 BROADCAST_ROWS = 3_000_000  # keys of 8 bytes: some 70 MB as a hashed relation
 
@@ -140,47 +142,57 @@ def _sets(size: int, num: int, den: int):
     return run
 
 
-def divide_skip(lists: list[tuple[list[int], int]], needed: list[int], longest: int) -> list[int]:
-    """Members whose lists reach ``needed``. ``lists``: ascending members with a weight (equal lists are one).
+class Inverted:
+    """Inverted lists of a block of sets: under each element, ascending, the members that hold it."""
 
-    The ``longest`` heaviest lists are only probed, and only for members that the heap
-    merge of the others brought within their total weight of what they need.
+    def __init__(self, members: list[np.ndarray]):
+        elements = np.concatenate(members)
+        owners = np.repeat(np.arange(len(members)), [len(m) for m in members])
+        order = np.argsort(elements, kind="stable")
+        self.owners = owners[order].tolist()
+        self.elements, starts = np.unique(elements[order], return_index=True)
+        self.edges = np.append(starts, len(elements))
+
+    def lists(self, query: np.ndarray) -> list[list[int]]:
+        """The lists of those elements of ``query`` that have one, longest first."""
+        at = np.searchsorted(self.elements, query)
+        at = at[self.elements[np.minimum(at, len(self.elements) - 1)] == query]
+        size = self.edges[at + 1] - self.edges[at]
+        at = at[np.argsort(-size, kind="stable")]
+        return [self.owners[a:b] for a, b in zip(self.edges[at].tolist(), self.edges[at + 1].tolist())]
+
+
+def divide_skip(lists: list[list[int]], needed: list[int], longest: int) -> list[int]:
+    """Members that are on ``needed`` of them of the inverted ``lists``, longest first, or more.
+
+    A heap merges the short lists; whoever is within ``longest`` of what it needs is then
+    looked up in the ``longest`` long ones by bisection, until it has enough or cannot.
     """
-    lists = sorted(lists, key=lambda x: -len(x[0]))
-    long_lists, short = lists[:longest], lists[longest:]
-    spare = sum(w for _, w in long_lists)
-    found, i, counts = [], 0, {}
-    for member, weight in heapq.merge(*[[(m, w) for m in ms] for ms, w in short]):
-        counts[member] = counts.get(member, 0) + weight
-    # a member that is on long lists only can still reach a small T
-    members = counts if min(needed, default=1) > spare else range(len(needed))
-    for member in members:
-        have, rest = counts.get(member, 0), spare
-        for ms, w in long_lists:
-            if have >= needed[member] or have + rest < needed[member]:
+    long_lists, found = lists[:longest], []
+    merged = groupby(heapq.merge(*lists[longest:]))
+    short = {member: sum(1 for _ in run) for member, run in merged}
+    # who needs no more than there are long lists may be on none of the short ones
+    for member in range(len(needed)) if min(needed, default=1) <= longest else short:
+        have = short.get(member, 0)
+        for left, each in zip(range(len(long_lists), 0, -1), long_lists):
+            if have >= needed[member] or have + left < needed[member]:
                 break
-            rest -= w
-            i = bisect_right(ms, member)
-            have += w * (i > 0 and ms[i - 1] == member)
+            i = bisect_left(each, member)
+            have += i < len(each) and each[i] == member
         if have >= needed[member]:
             found.append(member)
     return found
 
 
 def overlapping(query: np.ndarray, members: list[np.ndarray], num: int, den: int) -> list[int]:
-    """Which of at most 64 ``members`` have a similarity of at least num / den to ``query``."""
+    """Which of ``members`` have a similarity of at least num / den to ``query``: a T-occurrence search in their lists."""
     if not len(query):
         return []
-    mask = np.zeros(len(query), np.uint64)
-    for i, s in enumerate(members):
-        at = np.minimum(np.searchsorted(query, s), len(query) - 1)
-        mask[at[query[at] == s]] |= np.uint64(1 << i)
-    values, weights = np.unique(mask, return_counts=True)
-    lists = [([i for i in range(len(members)) if int(v) >> i & 1], int(w)) for v, w in zip(values, weights) if v]
     # den * both >= num * (a + b - both)
     needed = [-(-num * (len(query) + len(s)) // (num + den)) for s in members]
-    most = max((len(ms) for ms, _ in lists), default=1)
-    longest = min(len(lists), int(min(needed) / (0.1 * math.log(most + 1) * max(1, sum(weights) / len(lists)) + 1))) if lists else 0
+    lists = Inverted(members).lists(query)
+    # as many long lists as pay: DivideSkip's T / (mu log M + 1), M the longest list, mu 0.1
+    longest = min(len(lists), int(min(needed) / (0.1 * math.log(len(lists[0]) + 1) + 1))) if lists else 0
     return divide_skip(lists, needed, longest)
 
 
@@ -232,6 +244,19 @@ def _able(members: DataFrame) -> DataFrame:
     return stage(members.join(able, ["id", "band"], "left_semi"), "link-members")
 
 
+def _join_spread(rows: DataFrame, keyed: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, a staged table of one row a key that says in ``n`` how many rows have it.
+
+    Keys of HEAVY rows or more are at most the rows' number over HEAVY: they are broadcast
+    when counted to be few, and the rows under them stay where they are.
+    """
+    heavy = keyed.filter(F.col("n") >= HEAVY)
+    if heavy.count() > BROADCAST_ROWS:
+        return rows.join(keyed, on)
+    names = F.broadcast(heavy)
+    return rows.join(names, on).unionByName(rows.join(names.select(on), on, "left_anti").join(keyed.filter(F.col("n") < HEAVY), on))
+
+
 def _rarest(members: DataFrame, listed: bool = False) -> DataFrame:
     """Of each document's keys the rarest, as many as leave fewer than it needs.
 
@@ -239,9 +264,9 @@ def _rarest(members: DataFrame, listed: bool = False) -> DataFrame:
     ``company`` is how many members a document's keys bring together. ``listed`` adds all
     its keys in that order, for documents of up to LISTED of them.
     """
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "link-counts")
     mine = Window.partitionBy("id", "band")
-    ranked = members.join(counts, "key").select(
+    ranked = _join_spread(members, counts, "key").select(
         "key", "id", "band", "size", "need", "n", F.row_number().over(mine.orderBy("n", "key")).alias("rank"),
         F.count(F.lit(1)).over(mine).alias("has"), F.sum("n").over(mine).alias("company"))
     kept = ranked.filter("rank <= has - need + 1").select("key", "id", "band", "size", "need", "company")
@@ -262,9 +287,9 @@ def _with_comp(members: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _check_pairs(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(``leader``, ``id``) to the links among them, in blocks of some 32 members a leader."""
-    blocks = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK // 2)).alias("blocks"))
-    pairs = pairs.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long"))
-    members = pairs.select("leader", "block", F.lit(1).alias("role"), "id")
+    blocks = stage(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK // 2)).cast("long").alias("blocks")), "link-blocks")
+    dealt = _join_spread(pairs, blocks, "leader")
+    members = dealt.select("leader", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long").alias("block"), F.lit(1).alias("role"), "id")
     leads = blocks.select("leader", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("leader").alias("id"))
     rows = members.unionByName(leads).join(texts, "id")
     rows = rows.repartition("leader", "block").sortWithinPartitions("leader", "block", "role", "id")
@@ -303,8 +328,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # first everybody against the one with the most company under each key ...
     first = stage(_rarest(members), "link-first")
-    heads = first.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("leader"))
-    pairs = stage(first.join(heads, "key").filter("id <> leader").select("leader", "id").distinct(), "link-pairs")
+    heads = first.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("neg"))).alias("p"), F.count(F.lit(1)).alias("n")).select("key", (-F.col("p.neg")).alias("leader"), "n")
+    heads = stage(heads, "link-heads")
+    pairs = stage(_join_spread(first.select("key", "id"), heads, "key").filter("id <> leader").select("leader", "id").distinct(), "link-pairs")
     links = stage(_check_pairs(pairs, texts, size, num, den), "link-found")
     comp = connected_components(links)
     # ... then what can still be open: pairs of different components that share enough keys
