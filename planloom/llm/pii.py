@@ -4,7 +4,7 @@ The patterns fix the base spans, which always stay. The field then labels mentio
 runs of digits with phone, card or address punctuation, and words with an at sign. A
 mention's own shape gives its unary potential; neighbours in the text share a chain
 potential, and mentions with the same digits or address, however far apart, share a
-skip potential, so that a number written out in full once lends its label to its
+skip potential, similar ones (one domain, the same last digits) a weaker one, so that a number written out in full once lends its label to its
 shorter repetitions. Marginals come from damped loopy message passing per document;
 mentions sure enough of a label and touched by no base span are added under its kind.
 """
@@ -39,6 +39,9 @@ DIGIT = re.compile(r"[0-9]")
 NUMBER = re.compile(r"[+(]{0,2}[0-9](?:[\x20().-]{0,2}[0-9]){5,}")
 ADDRESS = re.compile(r"[^\s@]{1,64}(?:@|\x20?[(\[]at[)\]]\x20?)[^\s@]{1,255}")
 
+#: An at sign, plain or written around.
+AT = re.compile(r"@|\x20?[(\[]at[)\]]\x20?")
+
 SURE = 0.9
 CHAIN_REACH = 60  # characters between neighbours that still share a potential
 ROUNDS = 12
@@ -120,59 +123,76 @@ def shape(text: str, start: int, end: int) -> list[float]:
 
 
 def identity(mention: str) -> str:
-    """What repeated mentions have in common: an address, or the last seven digits."""
-    if "@" in mention:
-        return mention.lower().strip(".,;:!?()<>\"'")
-    d = NON_DIGIT.sub("", mention)
-    return d[-7:]
+    """What repeated mentions have in common: an address, however its at sign is written, or the last seven digits."""
+    if found := address(mention):
+        return "@".join(found)
+    return NON_DIGIT.sub("", mention)[-7:]
+
+
+def likeness(mention: str) -> str:
+    """What similar mentions have in common: the domain of an address, or the last four digits of a number."""
+    if found := address(mention):
+        return found[1]
+    return NON_DIGIT.sub("", mention)[-4:]
 
 
-def edges(text: str, nodes: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain links between near neighbours; skip links from each mention to the one before of its identity."""
+def address(mention: str) -> list[str] | None:
+    """Local part and domain, lower-cased, if there is an at sign or what stands for one."""
+    parts = AT.split(mention.lower().strip(".,;:!?()<>\"'"))
+    return parts if len(parts) == 2 else None
+
+
+def edges(text: str, nodes: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain links between near neighbours; skip links from each mention to the one before of its identity; and such
+    links to the one before that is only similar."""
     chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= CHAIN_REACH]
-    last: dict[str, int] = {}
-    skip = []
+    same: dict[str, int] = {}
+    like: dict[str, tuple[int, str]] = {}
+    skip, similar = [], []
     for i, (s, e) in enumerate(nodes):
-        k = identity(text[s:e])
-        if k in last:
-            skip.append((last[k], i))
-        last[k] = i
-    return chain, skip
+        k, kin = identity(text[s:e]), likeness(text[s:e])
+        if k in same:
+            skip.append((same[k], i))
+        elif kin in like and like[kin][1] != k:
+            similar.append((like[kin][0], i))
+        same[k], like[kin] = i, (i, k)
+    return chain, skip, similar
 
 
 class SkipChain:
-    """Weights of the field: unary by shape, symmetric tables for chain and skip links."""
+    """Weights of the field: unary by shape, symmetric tables for links of each kind (chain, skip, similar)."""
 
     def __init__(self, features: int):
         k = len(LABELS)
-        self.u, self.chain, self.skip = np.zeros((features, k)), np.zeros((k, k)), np.zeros((k, k))
+        self.u, self.tables = np.zeros((features, k)), [np.zeros((k, k)) for _ in range(3)]
 
     def train(self, docs, rounds: int = 250, rate: float = 0.5, decay: float = 1e-4):
         """Pseudo-likelihood: each mention given the labels of those it is linked to."""
         k = len(LABELS)
-        x, y, c, s = [], [], [], []
-        for feats, labels, chain, skip in docs:
-            lc, ls = np.zeros((len(labels), k)), np.zeros((len(labels), k))
-            for out, links in ((lc, chain), (ls, skip)):
+        x, y, met = [], [], [[] for _ in self.tables]
+        for feats, labels, *kinds in docs:
+            for out, links in zip(met, kinds):
+                seen = np.zeros((len(labels), k))
                 for i, j in links:
-                    out[i, labels[j]] += 1
-                    out[j, labels[i]] += 1
-            x.append(feats), y.append(labels), c.append(lc), s.append(ls)
-        x, y, c, s = np.concatenate(x), np.concatenate(y), np.concatenate(c), np.concatenate(s)
+                    seen[i, labels[j]] += 1
+                    seen[j, labels[i]] += 1
+                out.append(seen)
+            x.append(feats), y.append(labels)
+        x, y, met = np.concatenate(x), np.concatenate(y), [np.concatenate(m) for m in met]
         hot = np.eye(k)[y]
         for _ in range(rounds):
-            z = x @ self.u + c @ self.chain + s @ self.skip
+            z = x @ self.u + sum(m @ w for m, w in zip(met, self.tables))
             p = np.exp(z - z.max(axis=1, keepdims=True))
             g = (p / p.sum(axis=1, keepdims=True) - hot) / len(y)
             self.u -= rate * (x.T @ g + decay * self.u)
-            for w, f in ((self.chain, c), (self.skip, s)):
+            for w, f in zip(self.tables, met):
                 step = f.T @ g
                 w -= rate * ((step + step.T) / 2 + decay * w)
 
-    def marginals(self, feats: np.ndarray, chain, skip, rounds: int = ROUNDS, damp: float = 0.3) -> np.ndarray:
-        """Loopy sum-product over both kinds of links; its work is linear in mentions and links."""
+    def marginals(self, feats: np.ndarray, *kinds, rounds: int = ROUNDS, damp: float = 0.3) -> np.ndarray:
+        """Loopy sum-product over all kinds of links; its work is linear in mentions and links."""
         unary = feats @ self.u
-        links = [(i, j, self.chain) for i, j in chain] + [(i, j, self.skip) for i, j in skip]
+        links = [(i, j, w) for pairs, w in zip(kinds, self.tables) for i, j in pairs]
         if links:
             i, j = np.array([x[0] for x in links]), np.array([x[1] for x in links])
             w = np.stack([x[2] for x in links])
@@ -199,20 +219,22 @@ def labelled_documents(count: int, seed: int):
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("bdfghklmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4)))
 
+    domains, tails = [f"{word()}.example.{r.choice(['com', 'org', 'net'])}" for _ in range(4)], [digits(4) for _ in range(4)]
+
     def card():
         body = digits(15)
         body += next(c for c in "0123456789" if luhn(body + c))
         return [body, " ".join(body[i:i + 4] for i in range(0, 16, 4)), "-".join(body[i:i + 4] for i in range(0, 16, 4))]
 
     def phone():
-        a, b, c = digits(3), digits(3), digits(4)
+        a, b, c = digits(3), digits(3), r.choice([r.choice(tails), digits(4)])
         return [f"+1 ({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}"]
 
     def ip():
         return [".".join(str(r.randint(0, 255)) for _ in range(4))]
 
     def email():
-        u, d = f"{word()}.{word()}{digits(2)}", f"{word()}.example.{r.choice(['com', 'org', 'net'])}"
+        u, d = f"{word()}.{word()}{digits(2)}", r.choice([r.choice(domains), f"{word()}.example.{r.choice(['com', 'org', 'net'])}"])
         return [f"{u}@{d}", f"{u}@{d}", f"{u} [at] {d}", f"{u} (at) {d}"]
 
     def other():
