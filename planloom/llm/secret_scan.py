@@ -1,11 +1,15 @@
 """Operator 2: secrets by patterns and by a character convolution over candidates in context.
 
-The patterns fix the base spans, which always stay. Every other long mixed run of key
-characters is a candidate: its characters and those around it go through a small
-convolutional network, a long one in windows that overlap by half, and those whose
-highest score is above their group's threshold are added as kind ``cnn``. The network is trained in numpy on labelled findings from a seeded
-generator; scores are calibrated on a part that was not trained on, and each group's
-threshold is the highest that keeps the asked share of that part's secrets.
+The patterns fix the base spans, which always stay. They are candidates, and so is
+every other long run of key characters that holds a digit or a capital among its
+letters. A candidate's characters and those around it go through a small convolutional
+network, a long one in windows that overlap by half. Base spans that the network
+confirms are counted; other candidates whose highest score reaches their group's
+threshold are added as kind ``cnn``. The network is trained in numpy on labelled
+findings from a seeded generator, whose harmless ones (long identifiers, dotted names,
+digests of files) resemble secrets. A part that was not trained on calibrates the
+scores, and on a third part each group's threshold is set: the highest that keeps the
+asked share of its secrets.
 """
 
 from __future__ import annotations
@@ -28,16 +32,17 @@ KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Candidate: 12 or more key characters with a digit and a letter among them.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}")
+#: Candidate: 12 or more key characters with letters, and a digit or a capital after a small letter among them.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=.-]{12})(?=[^A-Za-z]{0,11}[A-Za-z])(?=[A-Za-z+/_=.-]*+[0-9]|[A-Z+/_=.-]*+[a-z][a-z+/_=.-]*+[A-Z])[A-Za-z0-9+/_=.-]*[A-Za-z0-9+/_=-]")
+MIXED = re.compile(r"[0-9]|[a-z][+/_=.-]*[A-Z]")
 HAS_DIGIT = re.compile(r"[0-9]")
 
 BEFORE, INSIDE, AFTER = 20, 36, 8
 WIDTH = BEFORE + INSIDE + AFTER
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .:=\"'+/_-@"
 CODES = {c: i + 2 for i, c in enumerate(ALPHABET)}  # 0 pads, 1 is any other character
-RECALL = 0.95  # of labelled secrets that each group's threshold keeps
-FINDINGS = 4000
+RECALL = 0.98  # of labelled secrets that each group's threshold keeps
+FINDINGS = 6000
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -51,13 +56,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def value_start(text: str, kind: str, start: int) -> int:
+    """Where the secret itself begins in a base span."""
+    return ASSIGN.match(text, start).start(1) if kind == "assign" else start
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Runs that no base span touches."""
-    if not HAS_DIGIT.search(text):
+    if not MIXED.search(text):
         return []
     out, i = [], 0
     reach, edges = 0, sorted((s, e) for _, s, e in taken)
     for m in RUN.finditer(text):
+        if m.end() - m.start() < 12:
+            continue
         while i < len(edges) and edges[i][0] < m.end():
             reach = max(reach, edges[i][1])
             i += 1
@@ -205,6 +217,10 @@ def labelled_findings(count: int, seed: int, long: bool = False):
             lambda: pick(upper + digits, r.randint(16, 32)),
             lambda: pick(lower + digits, r.randint(20, 40)),
             lambda: "-".join(pick(letters + digits, 8) for _ in range(r.randint(3, 5))),
+            lambda: pick(letters, r.randint(20, 44)),
+            lambda: pick("0123456789abcdef", r.choice([16, 20, 32, 40, 64])),
+            lambda: "AKIA" + pick(upper + digits, 16),
+            lambda: "eyJ" + ".".join(pick(letters + digits + "-_", r.randint(16, 40)) for _ in range(3)),
         ])()
 
     def harmless():
@@ -218,6 +234,10 @@ def labelled_findings(count: int, seed: int, long: bool = False):
             lambda: word().capitalize() + word().capitalize() + word().capitalize() + pick(digits, 2),
             lambda: word() * r.randint(3, 5) + pick(digits, 1),
             lambda: word().upper() + "-" + pick(digits, 4) + "-" + word().upper(),
+            lambda: ".".join([word(), word(), word() + pick(digits, 1)]),
+            lambda: word() + "".join(word().capitalize() for _ in range(r.randint(2, 4))),
+            lambda: pick("0123456789abcdef", 8) + "-" + word() + "." + r.choice(["txt", "json", "html"]),
+            lambda: word() + pick(letters + digits, 4) + word() + pick(digits, 2),
         ])()
 
     def long_harmless():
@@ -245,7 +265,7 @@ def trained(findings: int = FINDINGS, recall: float = RECALL, seed: int = 7) ->
     rows = labelled_findings(findings, seed, long=True)
     y = np.array([v for *_, v, _ in rows], np.float64)
     g = np.array([assigned(t, s) for t, s, *_ in rows])
-    net, cut = CharNet(seed), findings * 3 // 4
+    net, cut, last = CharNet(seed), findings * 3 // 5, findings * 4 // 5
 
     def windows(part):
         """Labelled windows: a secret's are those with at least 12 of its characters, or its most; fewer are left out, and none make it harmless."""
@@ -260,8 +280,8 @@ def trained(findings: int = FINDINGS, recall: float = RECALL, seed: int = 7) ->
         return np.stack(x), np.array(label, np.float64)
 
     net.train(*windows(rows[:cut]), rounds=6, rate=0.01, seed=seed)
-    net.calibrate(*windows(rows[cut:]))
-    net.choose(highest(net, [r[:3] for r in rows[cut:]]), y[cut:], g[cut:], recall)
+    net.calibrate(*windows(rows[cut:last]))
+    net.choose(highest(net, [r[:3] for r in rows[last:]]), y[last:], g[last:], recall)
     return net
 
 
@@ -274,33 +294,38 @@ def _scan(net: CharNet, names: list[str]):
         for batch in batches:
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             bases = [base_spans(t) for t in texts]
-            found = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t, bases[i])]
-            spans = [list(b) for b in bases]
-            for (i, s, e), q in zip(found, highest(net, [(texts[i], s, e) for i, s, e in found])):
+            held = [(i, value_start(texts[i], k, s), e) for i, b in enumerate(bases) for k, s, e in b]
+            free = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t, bases[i])]
+            spans, sure = [list(b) for b in bases], np.zeros(len(texts), np.int64)
+            scores = highest(net, [(texts[i], s, e) for i, s, e in held + free])
+            for at, ((i, s, e), q) in enumerate(zip(held + free, scores)):
                 if q >= net.groups[assigned(texts[i], s)]:
-                    spans[i].append(("cnn", s, e))
+                    sure[i] += 1
+                    if at >= len(held):
+                        spans[i].append(("cnn", s, e))
             for s in spans:
                 s.sort(key=lambda x: (x[1], KINDS.index(x[0])))
             count = lambda kind: pa.array([sum(k == kind for k, *_ in b) for b in bases], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(names))] + [count("assign"), count("access"), count("hex"), pa.array([sha256(join_spans(b).encode()).hexdigest() for b in bases]), pa.array([join_spans(s) for s in spans])],
-                [*names, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                [batch.column(i) for i in range(len(names))] + [count("assign"), count("access"), count("hex"), pa.array([sha256(join_spans(b).encode()).hexdigest() for b in bases]), pa.array([join_spans(s) for s in spans]), pa.array(sure)],
+                [*names, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_sure"])
 
     return run
 
 
-OUT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+OUT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_sure long"
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, findings: int = FINDINGS, recall: float = RECALL) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (all, if none are named) with counts, digest and list of the spans found.
+    """Columns ``keep`` of ``docs`` (all, if none are named) with counts, digest and list of the spans found,
+    and ``n_sure``, how many candidates, base spans among them, the network takes for secrets.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and kind; null
     texts are empty. The text is read whole, one row at a time; nothing is shuffled.
     Repeated rows give repeated results; input columns named like an output are
     replaced; an empty table gives an empty result.
     """
-    rows = without(docs, ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "_text"])
+    rows = without(docs, ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_sure", "_text"])
     names = keep if keep is not None else rows.columns
     src = rows.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([*src.drop("_text").schema.fields, *T.StructType.fromDDL(OUT).fields])
