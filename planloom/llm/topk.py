@@ -1,18 +1,20 @@
 """Operator 5: exact top-k inner products over norm-sorted, rotated vectors.
 
-Vectors are dealt out by descending length and packed into blocks; queries are packed
-too. The rotation comes from the sum of outer products, which has a fixed size. The
-longest vectors give every query a first k-th score. Then each block of queries meets
-the blocks of vectors in order of length: a block whose longest vector cannot reach
-the k-th score (Cauchy-Schwarz) is never sent there, and within a block the leading
-rotated coordinates plus the product of what is left of both lengths bound each
-score; only what the bound lets through is scored, in integers. Best lists of slices
-are merged per query, at most k rows a slice.
+Vectors are dealt out by descending length and packed into blocks. The rotation comes
+from the sum of outer products, which has a fixed size. Queries go out in chunks of a
+bounded number of bytes, and the vectors are read once for each chunk. The block of the
+longest vectors gives every query a first k-th score; then each task takes its blocks
+in order of length: one whose longest vector cannot reach a query's k-th score
+(Cauchy-Schwarz) is left out for it, and within a block the leading rotated coordinates
+plus the product of what is left of both lengths bound each score; only what the bound
+lets through is scored, in integers. Tasks return at most k rows a query, and these are
+merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +28,23 @@ SCALE = 1024
 VECTOR_BLOCK = 1024
 QUERY_BLOCK = 256
 HEAD = 16  # rotated coordinates summed before the first bound
-LIMIT = 1 << 53  # scaled components beyond this are no exact doubles
+LIMIT = 1 << 53  # products up to this are exact doubles
+CHUNK_BYTES = 32 << 20  # of query vectors that travel with the tasks at a time
 
 BLOCK_SCHEMA = "longest double, ids array<long>, data binary"
 
 
 def _vectors(column, dim: int):
-    """Scaled integer vectors, padded with zeros to ``dim``, and which rows have one."""
+    """Scaled vectors of whole numbers, as doubles, padded with zeros to ``dim``, and which rows have one."""
     ok = np.zeros(len(column), bool)
-    out = np.zeros((len(column), dim), np.int64)
+    out = np.zeros((len(column), dim))
     for i, v in enumerate(column):
         if v.is_valid:
             x = np.array([np.nan if c is None else c for c in v.as_py()], np.float64)
             if np.isfinite(x).all():
                 y = np.floor(SCALE * x)
-                if (np.abs(y) < LIMIT).all():
-                    ok[i], out[i, : len(y)] = True, y.astype(np.int64)
+                if np.isfinite(y).all():
+                    ok[i], out[i, : len(y)] = True, y
     return out, ok
 
 
@@ -50,7 +53,7 @@ def _outer(dim: int):
         total = np.zeros((dim, dim))
         for b in batches:
             x, ok = _vectors(b.column("vec"), dim)
-            y = x[ok].astype(np.float64)
+            y = x[ok]
             total += y.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
 
@@ -63,7 +66,7 @@ def _lengths(dim: int):
             x, ok = _vectors(b.column("vec"), dim)
             x = x[ok]
             ids = b.column("id").filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "length", "data"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.sqrt((x**2).sum(axis=1))), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "length", "data"])
 
     return run
 
@@ -90,11 +93,12 @@ def _pack(size: int):
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer products of rows; doubles where they are exact."""
+    """Integer products of rows: by doubles where they are exact, else by whole numbers of any size, held to 64 bits."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
     if most < LIMIT:
-        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    full = q.astype(object) @ x.T.astype(object)
+        return (q @ x.T).astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    full = whole(q) @ whole(x).T
     return np.vectorize(lambda v: max(-(1 << 63), min((1 << 63) - 1, v)), otypes=[np.int64])(full)
 
 
@@ -105,19 +109,19 @@ class Best:
         self.ids, self.q, self.floor, self.k = ids, q, floor.copy(), k
         self.scores = [np.zeros(0, np.int64)] * len(ids)
         self.found = [np.zeros(0, np.int64)] * len(ids)
-        r = q.astype(np.float64) @ rotation
+        r = q @ rotation
         self.head, self.length = r[:, :HEAD], np.sqrt((r**2).sum(axis=1))
         self.rest = np.sqrt((r[:, HEAD:] ** 2).sum(axis=1))
 
     def meet(self, ids: np.ndarray, x: np.ndarray, longest: float, rotation: np.ndarray) -> None:
         slack = 1 + 1e-9 * self.length * longest
-        alive = np.flatnonzero(self.length * longest + slack >= self.floor)
+        alive = np.flatnonzero(~(self.length * longest + slack < self.floor))
         if not len(alive):
             return
-        r = x.astype(np.float64) @ rotation
+        r = x @ rotation
         rest = np.sqrt((r[:, HEAD:] ** 2).sum(axis=1))
         bound = self.head[alive] @ r[:, :HEAD].T + np.outer(self.rest[alive], rest)
-        near = bound + slack[alive, None] >= self.floor[alive, None]
+        near = ~(bound + slack[alive, None] < self.floor[alive, None])  # what is no number is scored
         rows = np.flatnonzero(near.any(axis=1))
         cols = np.flatnonzero(near.any(axis=0))
         if not len(rows):
@@ -127,67 +131,44 @@ class Best:
             take = (scores[row] >= self.floor[a]) & (ids[cols] != self.ids[a])
             if take.any():
                 s, i = np.concatenate([self.scores[a], scores[row][take]]), np.concatenate([self.found[a], ids[cols][take]])
-                order = np.lexsort((i, -s))[: self.k]
+                order = np.lexsort((i, ~s))[: self.k]  # ~s falls as s rises, at every s of 64 bits
                 self.scores[a], self.found[a] = s[order], i[order]
                 if len(order) == self.k:
                     self.floor[a] = max(self.floor[a], float(s[order][-1]))
 
 
-def _search(k: int, dim: int, rotation: np.ndarray):
-    """Rows sorted by (query block, slice, vector block); yields the best of each query and slice."""
+def _search(k: int, shared):
+    """Blocks of vectors, longest first, against the chunk of queries; yields the best of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, at = None, None
-
-        def rows(b: Best):
-            sizes = [len(s) for s in b.scores]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(b.ids, sizes)), pa.array(np.concatenate(b.found)), pa.array(np.concatenate(b.scores))], ["query_id", "vec_id", "score"])
-
+        ids, q, floors, rotation = shared.value
+        best = [Best(ids[i : i + QUERY_BLOCK], q[i : i + QUERY_BLOCK], floors[i : i + QUERY_BLOCK], k, rotation) for i in range(0, len(ids), QUERY_BLOCK)]
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-            for n in range(batch.num_rows):
-                here = (cols["qblock"][n], cols["slice"][n])
-                if here != at:
-                    if best is not None:
-                        yield rows(best)
-                    ids = np.array(cols["qids"][n], np.int64)
-                    best, at = Best(ids, np.frombuffer(cols["qdata"][n], np.int64).reshape(len(ids), dim), np.frombuffer(cols["floors"][n], np.float64) if cols["floors"][n] else np.full(len(ids), -np.inf), k, rotation), here
-                ids = np.array(cols["ids"][n], np.int64)
-                best.meet(ids, np.frombuffer(cols["data"][n], np.int64).reshape(len(ids), dim), cols["longest"][n], rotation)
-        if best is not None:
-            yield rows(best)
-
-    return run
-
-
-def _floors(k: int):
-    """k-th scores of the first search, packed in the order of a query block's ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, least = [], []
-            for ids, pairs in zip(b.column("qids").to_pylist(), b.column("kth").to_pylist()):
-                known = {p["id"]: float(p["kth"]) for p in pairs or []}
-                f = np.array([known.get(i, -np.inf) for i in ids])
-                out.append(f.tobytes())
-                least.append(float(f.min()) if len(f) else -np.inf)
-            yield pa.RecordBatch.from_arrays([b.column("qblock"), b.column("qlongest"), b.column("qids"), b.column("qdata"), pa.array(out, pa.binary()), pa.array(least)], ["qblock", "qlongest", "qids", "qdata", "floors", "least"])
+            for longest, members, data in zip(*(batch.column(c) for c in ("longest", "ids", "data"))):
+                these = np.array(members.as_py(), np.int64)
+                x = np.frombuffer(data.as_buffer(), np.float64).reshape(len(these), -1)
+                for b in best:
+                    b.meet(these, x, longest.as_py(), rotation)
+        for b in best:
+            sizes = [len(s) for s in b.scores]
+            if sum(sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.ids, sizes)), pa.array(np.concatenate(b.found)), pa.array(np.concatenate(b.scores))], ["query_id", "vec_id", "score"])
 
     return run
 
 
-QUERY_SCHEMA = "qblock long, qlongest double, qids array<long>, qdata binary, floors binary, least double"
 FOUND_SCHEMA = "query_id long, vec_id long, score long"
 
 
-def top_products(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, slices: int = 12) -> DataFrame:
+def top_products(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(``query_id``, ``rank``, ``vec_id``, ``score``): the ``k`` best of each query among all other rows.
 
     Components are floor(1024 * x); queries are the rows whose id is divisible by
-    ``every``. Vectors that are null or hold null or non-finite components take no part,
-    nor do those beyond 2**53 once scaled; shorter vectors are padded with zeros. Rows
-    with a null id take no part. A row with the query's id is the query's own. Ties go
-    to the smaller id. Fewer than ``k`` others give fewer ranks; no queries, no rows.
+    ``every``. Vectors that are null or hold null or non-finite components (once scaled)
+    take no part; shorter vectors are padded with zeros. Scores that 64 bits cannot hold
+    are the nearest number that they can. Rows with a null id take no part. A row with
+    the query's id is the query's own. Ties go to the smaller id. Fewer than ``k`` others
+    give fewer ranks; no queries, no rows.
     """
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter(F.col("id").isNotNull())
     dim = src.agg(F.max(F.size("vec"))).first()[0] or 0
@@ -207,34 +188,32 @@ def top_products(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     total = known.count()
     dealt = known.repartitionByRange(max(1, min(-(-total // (4 * VECTOR_BLOCK)), 100_000)), *by_length).sortWithinPartitions(*by_length)
     blocks = stage(dealt.select("id", "length", "data").mapInArrow(_pack(VECTOR_BLOCK), BLOCK_SCHEMA), "top-blocks")
-    # ids by descending length; blocks hold 1,024 vectors, so this is a thousandth of the rows
-    heads = blocks.select("longest", F.xxhash64("ids").alias("h"))
-    blocks = blocks.withColumn("h", F.xxhash64("ids"))
+    # a chunk of queries is of bounded size; each is made by the hash of the id, so none is sorted for
     ask = known.filter(F.col("id") % every == 0)
-    ask = ask.repartition(max(1, min(-(-total // (every * QUERY_BLOCK)), 100_000)), "id").sortWithinPartitions("id")
-    queries = ask.select("id", "length", "data").mapInArrow(_pack(QUERY_BLOCK), BLOCK_SCHEMA)
-    queries = stage(queries.select(F.xxhash64("ids").alias("qblock"), F.col("longest").alias("qlongest"), F.col("ids").alias("qids"), F.col("data").alias("qdata")), "top-queries")
-
-    cols = ["qblock", "slice", "h", "longest", "qids", "qdata", "floors", "ids", "data"]
-    ordered = lambda df: df.repartition("qblock", "slice").sortWithinPartitions("qblock", "slice", F.col("longest").desc(), "h").select(*cols)
-    first = heads.orderBy(F.col("longest").desc(), "h").select("h").first()
-    tried = queries.withColumn("h", F.lit(first["h"] if first else 0).cast("long")).join(blocks, "h")
-    tried = tried.withColumn("slice", F.lit(0)).withColumn("floors", F.lit(None).cast("binary"))
-    seed = ordered(tried).mapInArrow(_search(k, dim, rotation), FOUND_SCHEMA)
-    kth = seed.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
-    member = queries.select("qblock", F.explode("qids").alias("query_id"))
-    packed = member.join(kth, "query_id").groupBy("qblock").agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "kth")).alias("kth"))
-    armed = stage(queries.join(packed, "qblock", "left").mapInArrow(_floors(k), QUERY_SCHEMA), "top-armed")
-
-    # which blocks of vectors each block of queries still has to meet: decided on lengths alone
-    sent = armed.select("qblock", "qlongest", "least", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    lengths = heads.withColumn("slice", F.pmod("h", F.lit(slices)).cast("int"))
-    sent = sent.join(lengths, "slice").filter(F.col("qlongest") * F.col("longest") * (1 + 1e-9) + 1 >= F.col("least")).select("qblock", "slice", "h")
-    met = sent.join(blocks, "h").join(armed.drop("qlongest", "least"), "qblock")
-    found = ordered(met).mapInArrow(_search(k, dim, rotation), FOUND_SCHEMA)
+    chunks = max(1, -(-ask.count() * dim * 8 // chunk_bytes))
+    ask = stage(ask.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).select("chunk", "id", "data"), "top-queries")
+    longest = stage(blocks.orderBy(F.col("longest").desc(), "ids").limit(1), "top-longest")
+    parts = []
+    for chunk in range(chunks):
+        mine = ask.filter(F.col("chunk") == chunk).select("id", "data").toArrow()
+        if not mine.num_rows:
+            continue
+        ids = mine["id"].to_numpy()
+        q = np.frombuffer(b"".join(mine["data"].to_pylist()), np.float64).reshape(len(ids), dim)
+        floors = np.full(len(ids), -np.inf)
+        shared = spark.sparkContext.broadcast((ids, q, floors, rotation))
+        seen: dict[int, list[int]] = {}
+        for r in longest.mapInArrow(_search(k, shared), FOUND_SCHEMA).select("query_id", "score").toArrow().to_pylist():
+            seen.setdefault(r["query_id"], []).append(r["score"])
+        for i, one in enumerate(ids.tolist()):
+            if len(seen.get(one, ())) >= k:
+                floors[i] = float(sorted(seen[one], reverse=True)[k - 1])
+        shared = spark.sparkContext.broadcast((ids, q, floors, rotation))
+        parts.append(stage(blocks.mapInArrow(_search(k, shared), FOUND_SCHEMA), "top-part"))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FOUND_SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     out = stage(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top-found")
-    for old in (known, queries, armed):
+    for old in (known, blocks, ask, longest, *parts):
         discard(old)
     return out
 
