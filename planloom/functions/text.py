@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CALL = r"^\s*([A-Za-z0-9_\-]+)\s*\((.*)\)\s*$"
+#: A name begins with a letter or underscore, and its bracket follows at once.
+CALL = r"^\s*([A-Za-z_][A-Za-z0-9_\-]*)\((.*)\)\s*$"
 
 
 def call_name(call: Column) -> Column:
@@ -50,7 +51,7 @@ def humanised(name: Column) -> Column:
 
 def clean_id(name: Column) -> Column:
     """Runs of anything but letters and digits become one underscore; none at the ends; ``unknown`` if nothing is left."""
-    kept = F.btrim(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "_"), F.lit("_"))
+    kept = F.btrim(F.regexp_replace(name, r"[^A-Za-z0-9]+", "_"), F.lit("_"))
     return F.coalesce(F.nullif(kept, F.lit("")), F.lit("unknown"))
 
 
@@ -60,11 +61,18 @@ def plan_step(step: Column) -> Column:
     return F.when(F.size(parts) == 0, F.lit("noop()")).otherwise(format_call(F.get(parts, 0), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))))
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def payload(text: Column) -> Column:
-    """Structured part of a reply: a fenced block, else from the first ``[`` to the last ``]``, else all of it."""
-    fenced = F.trim(F.regexp_extract(text, r"(?is)```(?:json|python)?\s*(.*?)```", 1))
-    listed = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(listed, F.lit("")), F.trim(text))
+    """Structured part of a reply: what its first fence holds (perhaps nothing), less a ``json`` or ``python`` tag;
+    without a fence, from the first ``[`` to the last ``]``; without these, all of it."""
+    whole = _stripped(text)
+    pieces = F.split(whole, "```")
+    first, last = F.instr(whole, "["), F.length(whole) - F.instr(F.reverse(whole), "]") + 1
+    return (F.when(F.size(pieces) > 2, _stripped(F.regexp_replace(F.get(pieces, 1), r"^(?i:json|python)", "")))
+            .when((first > 0) & (last > first) & whole.contains("]"), F.substring(whole, first, last - first + 1)).otherwise(whole))
 
 
 def is_affordance(fact: Column, prefixes: list[str]) -> Column:

@@ -8,28 +8,35 @@ from pyspark.sql import functions as F
 from planloom.sources.scratch import discard, stage
 
 
-def seeded_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 24, cut_every: int = 6) -> DataFrame:
+def seeded_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 24, cut_every: int = 3) -> DataFrame:
     """(``node``, ``mass``) after ``rounds`` of personalised PageRank; ``edges`` (source, target, weight), ``seeds`` (node, weight).
 
     Mass of nodes without outgoing edges returns to the seeds. Each round is a join and a
     sum with map-side partials; every few rounds the masses are staged, which cuts the
-    lineage and survives lost executors.
+    lineage and survives lost executors. Where some nodes have no outgoing edges a round
+    reads the masses twice, so there each is staged.
     """
     out = edges.groupBy("source").agg(F.sum("weight").alias("out"))
     hops = stage(edges.join(out, "source").groupBy("source", "target").agg(F.sum(F.col("weight") / F.col("out")).alias("p")), "rank-hops")
     total = seeds.agg(F.sum("weight").alias("total"))
     start = stage(seeds.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").select("node", (F.col("weight") / F.col("total")).alias("seed")), "rank-seeds")
+    nodes = hops.select(F.col("target").alias("node")).unionByName(start.select("node")).distinct()
+    sinks = stage(nodes.join(hops.select(F.col("source").alias("node")), "node", "left_anti"), "rank-sinks")
+    losing = not sinks.isEmpty()
     mass, old = start.select("node", F.col("seed").alias("mass")), None
     for r in range(1, rounds + 1):
-        moved = mass.join(hops, mass["node"] == hops["source"]).groupBy(F.col("target").alias("node")).agg((damping * F.sum(F.col("mass") * F.col("p"))).alias("mass"))
-        lost = mass.join(hops.select(F.col("source").alias("node")).distinct(), "node", "left_anti").agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("lost"), F.lit(1).alias("one"))
-        back = start.withColumn("one", F.lit(1)).join(lost, "one").select("node", (F.col("seed") * (1 - damping + damping * F.col("lost"))).alias("mass"))
+        moved = mass.join(hops, mass["node"] == hops["source"]).select(F.col("target").alias("node"), (damping * F.col("mass") * F.col("p")).alias("mass"))
+        back = start.select("node", (F.col("seed") * (1 - damping)).alias("mass"))
+        if losing:  # the sum is one number, fetched from the staged masses
+            lost = mass.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
+            back = start.select("node", (F.col("seed") * (1 - damping + damping * lost)).alias("mass"))
         mass = moved.unionByName(back).groupBy("node").agg(F.sum("mass").alias("mass"))
-        if r % cut_every == 0 or r == rounds:
+        if losing or r % cut_every == 0 or r == rounds:
             mass = stage(mass, "rank-mass")
             if old is not None:
                 discard(old)
             old = mass
+    discard(hops), discard(start), discard(sinks)
     return mass
 
 

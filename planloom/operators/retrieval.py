@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planloom.operators.relational import ranked
+from planloom.sources.scratch import stage
 
+BROADCAST_TERMS = 500_000  # terms of queries, of some 50 bytes each
 K1, B = 1.5, 0.75  # BM25 saturation and length weight
 
 
@@ -30,14 +32,17 @@ def jaccard_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """As ``jaccard_topk``, by BM25 over distinct query terms; the score is s / (s + 1), rounded to 6 before ranking."""
-    terms = term_table(docs, "doc", "tokens")
-    lengths = terms.groupBy("doc").agg(F.sum("tf").alias("len"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    qt = stage(queries.select("q", F.explode(F.array_distinct("tokens")).alias("term")), "bm25-asked")
+    asked = qt.select("term").distinct()
+    few = qt.count() <= BROADCAST_TERMS
+    # texts are read once for their lengths and once for their counts of the terms asked for
     totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    qt = queries.select("q", F.explode(F.array_distinct("tokens")).alias("term"))
+    words = docs.select("doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    terms = stage(words.join(F.broadcast(asked) if few else asked, "term", "left_semi").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "bm25-terms")
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     one = lambda x: x.withColumn("one", F.lit(1))
     wanted = one(qt.join(df, "term")).join(one(totals), "one").select("q", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    met = wanted.join(terms, "term").join(lengths, "doc").groupBy("q", "doc").agg(F.sum(part).alias("s"))
+    met = terms.join(F.broadcast(wanted) if few else wanted, "term").groupBy("q", "doc").agg(F.sum(part).alias("s"))
     scored = met.select("q", "doc", F.round(F.when(F.col("s") > 0, F.col("s") / (F.col("s") + 1)).otherwise(0.0), 6).alias("score"))
     return ranked(scored, ["q"], [F.col("score").desc(), F.col("doc")], k)

@@ -340,3 +340,35 @@ def paired_bootstrap_bounds(spark, d):
 def paired_bootstrap(spark, d):
     """Whether the mean difference lies in the interval of ``paired_bootstrap_bounds``; its SQL knows that only."""
     return bootstrap_bounds(paired(spark, d)).select("lang", F.round("uplift", 9).alias("uplift"), ((F.col("uplift") >= F.col("low")) & (F.col("uplift") <= F.col("high"))).alias("inside"))
+
+
+@query("contrast_catalogue", """
+with o as (select lang, 'quality' as metric, quality::double as x from documents join labels using (doc_id) union all select lang, 'safe', 1 - toxic::double from documents join labels using (doc_id)),
+r as (select lang, metric, count(*) as n, avg(x) as rate from o group by 1, 2)
+select a.metric, a.lang as left_group, b.lang as right_group, a.n as left_n, b.n as right_n, round(a.rate, 9) as left_rate, round(b.rate, 9) as right_rate, round(a.rate - b.rate, 9) as difference,
+  round(sqrt(a.rate * (1 - a.rate) / a.n + b.rate * (1 - b.rate) / b.n), 9) as standard_error from r a join r b on a.metric = b.metric and a.lang < b.lang""")
+def contrast_catalogue(spark, d):
+    """Every pair of groups by every metric. The documents are read once; pairs are made of their few sums."""
+    o = outcomes(spark, d)
+    long = o.select("lang", F.explode(F.create_map(F.lit("quality"), F.col("good").cast("double"), F.lit("safe"), 1 - F.col("toxic").cast("double"))).alias("metric", "x"))
+    rates = long.groupBy("lang", "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("rate"))
+    a, b = (rates.select("metric", F.col("lang").alias(f"{side}_group"), F.col("n").alias(f"{side}_n"), F.col("rate").alias(f"{side}_rate")) for side in ("left", "right"))
+    variance = lambda side: F.col(f"{side}_rate") * (1 - F.col(f"{side}_rate")) / F.col(f"{side}_n")
+    met = a.join(b, "metric").filter("left_group < right_group")
+    return met.select("metric", "left_group", "right_group", "left_n", "right_n", F.round("left_rate", 9).alias("left_rate"), F.round("right_rate", 9).alias("right_rate"),
+                      F.round(F.col("left_rate") - F.col("right_rate"), 9).alias("difference"), F.round(F.sqrt(variance("left") + variance("right")), 9).alias("standard_error"))
+
+
+@query("cell_export", """select doc_id, lang, source, case when quality is null then 'unlabelled' when toxic = 1 then 'unsafe' when quality = 1 then 'pass' else 'fail' end as verdict, coalesce(quality = 1 and toxic = 0, false) as in_cohort from documents left join labels using (doc_id)""")
+def cell_export(spark, d):
+    """Every row with its verdict, labelled or not, and whether the cohort takes it."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source").join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    verdict = F.when(F.col("quality").isNull(), "unlabelled").when(F.col("toxic") == 1, "unsafe").when(F.col("quality") == 1, "pass").otherwise("fail")
+    return rows.select("doc_id", "lang", "source", verdict.alias("verdict"), F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False)).alias("in_cohort"))
+
+
+@query("ordered_equality", """select l_orderkey, list(l_linenumber order by l_linenumber) = list(l_linenumber order by l_shipdate, l_linenumber) as in_order, count(*) as lines from lineitem group by 1""")
+def ordered_equality(spark, d):
+    """Whether an order's lines ship in the order of their numbers: two lists are equal if they are so place by place."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("a"), F.array_sort(F.collect_list(F.struct("l_shipdate", "l_linenumber"))).alias("b"))
+    return lines.select("l_orderkey", (F.col("a") == F.transform("b", lambda x: x["l_linenumber"])).alias("in_order"), F.size("a").cast("long").alias("lines"))

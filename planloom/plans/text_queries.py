@@ -43,7 +43,7 @@ def normalise(spark, d):
 
 @query("humanise", r"select p_partkey, trim(regexp_replace(translate(p_type, '_-', '  '), '\s+', ' ', 'g')) as label, coalesce(nullif(trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') as id from part")
 def humanise(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.humanised(F.col("p_type")).alias("label"), X.clean_id(F.concat_ws(" ", "p_brand", "p_name")).alias("id"))
+    return table(spark, d, "part").select("p_partkey", X.humanised(F.col("p_type")).alias("label"), X.clean_id(F.lower(F.concat_ws(" ", "p_brand", "p_name"))).alias("id"))
 
 
 @query("plan_steps", "select o_orderkey, lower(o_orderstatus) || '(' || o_orderpriority || ', ' || o_custkey || ')' as step from orders where o_orderpriority not like '% %' union all select o_orderkey, lower(o_orderstatus) || '(' || replace(o_orderpriority, ' ', ', ') || ', ' || o_custkey || ')' from orders where o_orderpriority like '% %'")

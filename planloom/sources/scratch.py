@@ -11,14 +11,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests.
+#: Used only in local mode where the session names no folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; set to ``FALLBACK_DIR`` where it is unset."""
+    """Folder named by ``spark.checkpoint.dir``; in local mode set to ``FALLBACK_DIR`` where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = FALLBACK_DIR
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

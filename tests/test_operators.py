@@ -186,3 +186,28 @@ def test_searches_meet_every_row(spark):
     score = lambda a, b: round((0.4 * over(a[2], b[2]) + 0.3 * over(a[3], b[3]) + 0.2 * (a[1] == b[1])) / 0.9, 6)
     want = [(a[0], n + 1, j) for a in parts if a[0] % 20 == 0 for n, (_, j) in enumerate(sorted((-score(a, b), b[0]) for b in parts if b[0] != a[0])[:3])]
     assert got == sorted(want)
+
+
+def test_calls_ids_and_payloads_by_case(spark):
+    from planloom.functions import text as X
+
+    calls = ["go(a, b)", "2go(x)", "go (x)", " _a-b() ", "plain"]
+    got = [(r.n, r.a) for r in spark.createDataFrame([(c,) for c in calls], "c string").select(X.call_name(F.col("c")).alias("n"), X.call_args(F.col("c")).alias("a")).collect()]
+    assert got == [("go", ["a", "b"]), ("2go(x)", []), ("go (x)", []), ("_a-b", []), ("plain", [])]
+    ids = spark.createDataFrame([("  Red Cup-2 ",), ("--",)], "c string").select(X.clean_id(F.col("c")).alias("i")).collect()
+    assert [r.i for r in ids] == ["Red_Cup_2", "unknown"]
+    cases = {"a ```json\n[1]\n``` b": "[1]", "x ``` ``` [2]": "", "so [a] and [b] end": "[a] and [b]", " ] plain [ ": "] plain [", "```PYTHON x``` y": "x"}
+    rows = spark.createDataFrame([(c,) for c in cases], "c string").select("c", X.payload(F.col("c")).alias("p")).collect()
+    assert {r.c: r.p for r in rows} == cases
+
+
+def test_seeded_rank_returns_lost_mass_to_the_seeds(spark):
+    from planloom.operators.graph import seeded_rank
+
+    edges = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 3.0), ("b", "a", 1.0)], "source string, target string, weight double")
+    seeds = spark.createDataFrame([("a", 2.0)], "node string, weight double")
+    mass = {"a": 1.0, "b": 0.0, "c": 0.0}
+    for _ in range(5):
+        mass = {"a": 0.15 + 0.85 * (mass["b"] + mass["c"]), "b": 0.85 * mass["a"] / 4, "c": 0.85 * mass["a"] * 3 / 4}
+    got = {r.node: r.mass for r in seeded_rank(edges, seeds, rounds=5).collect()}
+    assert got == pytest.approx(mass)
