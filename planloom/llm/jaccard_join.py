@@ -370,14 +370,25 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_first(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` less every document that is not the first, by id, of its component; repeated ids stay once each.
+    """``docs`` less every row that is not the first of its component.
 
-    Rows with a null id and texts without words stay.
+    Rows are linked by a number of their own, so repeated rows, rows with a null id and an
+    id with several texts are told apart: of each component one row stays, that of the
+    smallest id, nulls last, and of these the one whose text has the smallest hash. Texts
+    without words stay.
     """
-    found = link_documents(docs, id_col, text_col, size, num, den)
-    later = stage(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct(), "link-later")
+    rows = stage(without(docs, ["_row"]).withColumn("_row", F.monotonically_increasing_id()), "link-rows")
+    found = stage(link_documents(rows.select("_row", text_col), "_row", text_col, size, num, den).select(F.col("doc_id").alias("_row"), "component_id"), "link-comps")
+    several = stage(found.filter("component_id <> _row").select("component_id").distinct(), "link-several")
+    group = _semi(found, several, "component_id")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.col("_row"))
+    group = stage(group.join(rows.select("_row", order.alias("place")), "_row"), "link-group")
+    first = group.groupBy("component_id").agg(F.min("place").alias("p")).select(F.col("p._row").alias("_row"))
+    later = stage(group.select("_row").join(first, "_row", "left_anti"), "link-later")
+    for old in (found, several, group):
+        discard(old)
     few = later.count() <= BROADCAST_ROWS
-    return without(docs, ["_later"]).join(F.broadcast(later) if few else later, F.col(id_col) == F.col("_later"), "left_anti")
+    return rows.join(F.broadcast(later) if few else later, "_row", "left_anti").drop("_row")
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

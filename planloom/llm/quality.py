@@ -117,9 +117,13 @@ def held_out(id_col) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Discriminant:
-    """Learn from at most ``rows`` labelled rows, those of smallest id hash; labels other than 0 and 1 are left out."""
-    chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").dropDuplicates(["_id"])
-    chosen = chosen.filter(~held_out(F.col("_id")) & F.col("_id").isNotNull()).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    """Learn from at most ``rows`` labelled rows, those of smallest id hash.
+
+    Labels other than 0 and 1 are left out, and so are ids whose labels disagree.
+    """
+    marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
+    chosen = marked.filter(~held_out(F.col("_id")) & F.col("_id").isNotNull()).groupBy("_id").agg(F.min("label").alias("label"), F.max("label").alias("top"))
+    chosen = chosen.filter("label = top").select("_id", "label").orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     parts = texts.join(F.broadcast(chosen), "_id").select("text", "label").mapInArrow(_moments, "label int, sums array<double>")
     summed = parts.select("label", F.posexplode_outer("sums").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x")).collect()
