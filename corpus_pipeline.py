@@ -2,9 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns the
 columns of ``documents``; the last adds how the mix takes each document. SQL can
-express neither the classifier nor the components, so there is no ORACLE_SQL. The
-operators behind the stages have tests of their own; of the stages only near_duplicates
-has one yet, against brute force.
+express neither the classifier nor the components, so there is no ORACLE_SQL; each
+stage and the whole are held against brute-force versions in tests/llm.
 """
 
 from __future__ import annotations
