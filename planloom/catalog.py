@@ -6,6 +6,7 @@ from planloom.plans import (  # noqa: F401  importing a module registers its que
     outcome_queries,
     relational_queries,
     replay_queries,
+    report_queries,
     retrieval_queries,
     text_queries,
 )

@@ -79,3 +79,31 @@ def write_once(df: DataFrame, path: str) -> bool:
 def file_digests(spark: SparkSession, glob: str) -> DataFrame:
     """(``path``, ``length``, ``sha256``) of files."""
     return spark.read.format("binaryFile").load(glob).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def read_memory(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a repair memory, each with the ``sha256`` of the file that holds it."""
+    rows = spark.read.option("mode", "FAILFAST").json(path).withColumn("path", F.col("_metadata.file_path"))
+    names = F.col("_metadata.file_path").alias("path")
+    digests = spark.read.format("binaryFile").load(path).select(names, F.sha2("content", 256).alias("sha256"))
+    return rows.join(digests, "path")
+
+
+def read_responses(spark: SparkSession, root: str) -> DataFrame:
+    """(``path``, ``dataset``, ``module``, ``record``, ``issue``) of ``<root>/<dataset>/<module>/*_outputs.json``.
+
+    A file that holds no JSON array or object is a row with an issue, not an error.
+    """
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*_outputs.json").text(f"{root}/*/*")
+    path = F.col("_metadata.file_path")
+    parts = F.split(path, "/")
+    rows = files.select(path.alias("path"), F.element_at(parts, -3).alias("dataset"), F.element_at(parts, -2).alias("module"), F.try_parse_json("value").alias("record"))
+    shape = F.schema_of_variant("record")
+    holds = F.coalesce(shape.startswith("ARRAY") | shape.startswith("OBJECT"), F.lit(False))
+    return rows.withColumn("issue", F.when(F.col("record").isNull(), "invalid_json").when(~holds, "no_records"))
+
+
+def export_by(df: DataFrame, path: str, by: str, mode: str = "errorifexists") -> DataFrame:
+    """JSON lines in one folder per value of ``by``; returns the manifest (``by``, ``n``) of what was written."""
+    df.write.mode(mode).partitionBy(by).json(path)
+    return df.sparkSession.read.schema(df.schema).json(path).groupBy(by).agg(F.count(F.lit(1)).alias("n"))

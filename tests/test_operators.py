@@ -1,5 +1,6 @@
 """Small fixtures that pin semantics."""
 
+import hashlib
 import math
 import re
 
@@ -211,3 +212,23 @@ def test_seeded_rank_returns_lost_mass_to_the_seeds(spark):
         mass = {"a": 0.15 + 0.85 * (mass["b"] + mass["c"]), "b": 0.85 * mass["a"] / 4, "c": 0.85 * mass["a"] * 3 / 4}
     got = {r.node: r.mass for r in seeded_rank(edges, seeds, rounds=5).collect()}
     assert got == pytest.approx(mass)
+
+
+def test_memory_responses_and_export(spark, tmp_path):
+    (tmp_path / "memory.jsonl").write_text('{"id":"a","fix":"x"}\n{"id":"b","fix":"y"}\n')
+    rows = records.read_memory(spark, str(tmp_path / "memory.jsonl")).collect()
+    digest = hashlib.sha256((tmp_path / "memory.jsonl").read_bytes()).hexdigest()
+    assert {r.id for r in rows} == {"a", "b"} and {r.sha256 for r in rows} == {digest}
+    for name, text in (("m1_outputs.json", '[{"identifier":"1"}]'), ("m2_outputs.json", "{oops"), ("m3_outputs.json", "3"), ("notes.json", "[]")):
+        (tmp_path / "tree" / "home" / "actions").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / "home" / "actions" / name).write_text(text)
+    got = {r.path.rsplit("/", 1)[1][:2]: (r.dataset, r.module, r.issue) for r in records.read_responses(spark, str(tmp_path / "tree")).drop("record").collect()}
+    assert got == {"m1": ("home", "actions", None), "m2": ("home", "actions", "invalid_json"), "m3": ("home", "actions", "no_records")}
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "dataset string, id int")
+    assert {tuple(r) for r in records.export_by(df, str(tmp_path / "out"), "dataset").collect()} == {("a", 2), ("b", 1)}
+    edges = tmp_path / "edges.jsonl"
+    edges.write_text('{"task_id":"t","source":"s","relation":"r","target":"x"}\n')
+    assert [tuple(r) for r in records.read_edges(spark, str(edges)).collect()] == [("t", "s", "r", "x")]
+    edges.write_text('{"task_id":"t","source":"s"}\n')
+    with pytest.raises(Exception, match="record without relation"):
+        records.read_edges(spark, str(edges)).collect()
