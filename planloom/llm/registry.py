@@ -1,5 +1,6 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from planloom.llm.collocations import OP11_SQL, op11_collocations
 from planloom.llm.decontaminate import OP10_SQL, op10_decontamination
 from planloom.llm.jaccard_join import op4_jaccard_join
 from planloom.llm.line_dedup import OP1_SQL, op1_line_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_lm_score": op9_lm_score,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE_SQL = {
@@ -29,4 +31,5 @@ ORACLE_SQL = {
     "op5_top_k": OP5_SQL,
     "op8_mixing": OP8_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_collocations": OP11_SQL,
 }
