@@ -9,6 +9,7 @@ from planloom.llm.mixing import OP8_SQL, op8_mixing
 from planloom.llm.pii import op6_pii
 from planloom.llm.quality import op7_quality
 from planloom.llm.secret_scan import op2_secret_scan
+from planloom.llm.sharding import OP12_SQL, op12_sharding
 from planloom.llm.substring_dedup import op3_substring_dedup
 from planloom.llm.topk import OP5_SQL, op5_top_k
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_decontamination": op10_decontamination,
     "op11_collocations": op11_collocations,
+    "op12_sharding": op12_sharding,
 }
 
 ORACLE_SQL = {
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op8_mixing": OP8_SQL,
     "op10_decontamination": OP10_SQL,
     "op11_collocations": OP11_SQL,
+    "op12_sharding": OP12_SQL,
 }
