@@ -2,6 +2,7 @@
 
 from planloom.llm.collocations import OP11_SQL, op11_collocations
 from planloom.llm.decontaminate import OP10_SQL, op10_decontamination
+from planloom.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from planloom.llm.jaccard_join import op4_jaccard_join
 from planloom.llm.line_dedup import OP1_SQL, op1_line_dedup
 from planloom.llm.lm_score import op9_lm_score
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_collocations": op11_collocations,
     "op12_sharding": op12_sharding,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op10_decontamination": OP10_SQL,
     "op11_collocations": OP11_SQL,
     "op12_sharding": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
