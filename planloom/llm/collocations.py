@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -76,9 +77,9 @@ def _stretches(batch: pa.RecordBatch) -> pa.Table:
 
 
 def _packed(t: pa.Table) -> bytes:
+    """Sorted phrases by what each adds to the one before, counts and lengths in few bits."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(t)
+    pq.write_table(t, sink, use_dictionary=["lang"], column_encoding={"phrase": "DELTA_BYTE_ARRAY", "f": "DELTA_BINARY_PACKED"}, compression="zstd", write_statistics=False)
     return sink.getvalue().to_pybytes()
 
 
@@ -94,7 +95,7 @@ def _grams(buckets: int):
                     con.register("pieces", pa.concat_tables(held))
                     t = con.sql(GRAMS.format(buckets=buckets)).to_arrow_table()
                 held.clear()
-                t = t.take(pc.sort_indices(t["bucket"])).combine_chunks()
+                t = t.take(pc.sort_indices(t, [("bucket", "ascending"), ("phrase", "ascending")])).combine_chunks()
                 runs = pc.run_end_encode(t["bucket"].chunk(0)) if t.num_rows else None
                 at = 0
                 for bucket, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()) if runs else ():
@@ -125,7 +126,7 @@ def _sums(least: int):
         rows = (pair for b in batches for pair in zip(b.column("bucket").to_pylist(), b.column("block")))
         with tempfile.TemporaryDirectory() as folder, _connect(folder) as con:
             for _, blocks in itertools.groupby(rows, key=lambda pair: pair[0]):
-                read = (batch for _, block in blocks for batch in pa.ipc.open_stream(block.as_buffer()))
+                read = (batch for _, block in blocks for batch in pq.ParquetFile(pa.BufferReader(block.as_buffer())).iter_batches())
                 con.register("blocks", pa.RecordBatchReader.from_batches(COUNTS, read))
                 yield from con.sql(SUMS.format(least=least)).to_arrow_table().cast(COUNTS).to_batches(max_chunksize=1 << 16)
                 con.unregister("blocks")
