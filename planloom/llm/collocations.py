@@ -29,6 +29,7 @@ FLUSH_BYTES = 8 << 20  # of pieces that a task turns into n-grams at a time
 BUCKET_BYTES = 8 << 20  # of distinct pieces for each hash bucket
 MOST_BUCKETS = 1 << 16  # larger inputs have larger buckets, which spill
 MEMORY = "300MB"  # of DuckDB in a task
+SALTS = 64  # shares of a lang that are ranked apart first
 
 ENDS = r"[.,;:!?\x0A-\x0D]"
 COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
@@ -177,8 +178,12 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     parted = cut.select("*", F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * a * a, l * r).alias("score"))
     lowest = F.min(F.struct("score", "cut", "l", "r"))
     scored = parted.groupBy("lang", "phrase", "a").agg(lowest.alias("low")).select("lang", "phrase", "a", "low.l", "low.r", "low.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase"))
-    best = scored.select("*", rank.alias("rank")).filter(F.col("rank") <= per_lang)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt")  # the best of a lang are among the best of its shares
+    share = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))
+    shares = scored.select("*", salt).select("*", share.alias("rank")).filter(F.col("rank") <= per_lang).drop("rank", "salt")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    best = shares.select("*", rank.alias("rank")).filter(F.col("rank") <= per_lang)
     out = stage(best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrase-best")
     for old in (pieces, counts):
         discard(old)
