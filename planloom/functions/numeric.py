@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,10 +59,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, also where lambdas inside ``body`` use it again and again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """L2-normalised; the zero vector stays."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y))
+    return let(v, lambda x: let(norm(x), lambda n: F.when(n == 0, x).otherwise(F.transform(x, lambda y: y / n))))
 
 
 def clamp01(x: Column) -> Column:
