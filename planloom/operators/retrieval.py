@@ -1,15 +1,19 @@
-"""Top-k retrieval over token bags by an inverted-index join; no query meets every document."""
+"""Exact top-k retrieval over token bags: rare terms find candidates, bounds decide which need the others."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.operators.relational import ranked
-from planloom.sources.scratch import stage
+from planloom.sources.scratch import discard, stage
 
 BROADCAST_TERMS = 500_000  # terms of queries, of some 50 bytes each
 K1, B = 1.5, 0.75  # BM25 saturation and length weight
+FIRST = 8  # rarest terms of a query that find documents for its first k-th score
+TRIED = 8  # times k, of such documents that are scored in full
+TIERS = 16  # of a term's postings, by impact
+BLOCK = 4096  # postings of a tier that stand together
 
 
 def term_table(df: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -17,32 +21,133 @@ def term_table(df: DataFrame, key: str, tokens: str) -> DataFrame:
     return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _asked(queries: DataFrame, docs: DataFrame, label: str, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """Staged distinct terms of the queries, and staged (``doc``, ``term``, ``len``, ...) of those terms in ``docs``; texts are read once."""
+    qt = stage(queries.select("q", F.explode(F.array_distinct("tokens")).alias("term")), f"{label}-asked")
+    terms = qt.select("term").distinct()
+    words = docs.select("doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    met = words.join(F.broadcast(terms) if qt.count() <= BROADCAST_TERMS else terms, "term", "left_semi")
+    return qt, stage(met.groupBy("doc", "term").agg(F.first("len").alias("len"), *more), f"{label}-terms")
+
+
+def _kth(scored: DataFrame, k: int) -> DataFrame:
+    """(``q``, ``theta``): the k-th best score of each query that has as many."""
+    return ranked(scored, ["q"], [F.col("score").desc()], k).filter(F.col("rank") == k).select("q", F.col("score").alias("theta"))
+
+
+def _by_query(df: DataFrame) -> DataFrame:
+    """Joined to larger tables by query or by query and term: a hint only where its rows were counted."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
 def jaccard_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(``q``, ``rank``, ``doc``, ``score``) by set similarity; ties to the smaller document. Inputs: (q or doc, tokens).
 
-    Terms shared by a query and a document are counted over the join on the term, with
-    partial sums before the shuffle by pair.
+    A query's rarest terms find documents, whose ``k`` best give it a least score. A
+    document that reaches it is not too long, and shares so many terms that one of them is
+    among the rarest n - needed + 1; only those terms are joined further, and the overlap
+    of what they find is counted in full. Documents that share nothing are not returned.
     """
     qs, ds = (df.select(c, F.array_distinct("tokens").alias("tokens")) for df, c in ((queries, "q"), (docs, "doc")))
+    qt, terms = _asked(qs, ds, "jaccard")
+    size, df = qs.select("q", F.size("tokens").alias("n")), terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy("df", "term"))
+    # terms that no document has come first in this order, and so take the places before
+    missing = qt.join(df, "term", "left_anti").groupBy("q").agg(F.count(F.lit(1)).alias("gone"))
+    own = qt.join(df, "term").select("q", "term", place.alias("found_place")).join(size, "q").join(missing, "q", "left")
+    own = stage(own.select("q", "term", "n", (F.col("found_place") + F.coalesce("gone", F.lit(0))).alias("place"), "found_place"), "jaccard-own")
+    wanted = _by_query(own)
+    similarity = lambda both: both / (F.col("n") + F.col("len") - both)
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """Similarity of (q, doc) pairs, from all terms of the document that were asked for."""
+        met = terms.join(pairs, "doc").join(wanted.select("q", "term", "n"), ["q", "term"])
+        return met.groupBy("q", "doc").agg(F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.first("len").alias("len")).select("q", "doc", similarity(F.col("both")).alias("score"))
+
+    near = terms.join(wanted.filter(F.col("found_place") <= FIRST), "term").groupBy("q", "doc").agg(F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.first("len").alias("len"))
+    best = ranked(near.select("q", "doc", similarity(F.col("both")).alias("score")), ["q"], [F.col("score").desc(), F.col("doc")], TRIED * k).select("q", "doc")
+    theta = _kth(counted(F.broadcast(stage(best, "jaccard-first"))), k)  # TRIED k rows a query
+    bound = _by_query(stage(own.join(theta, "q", "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)) - 2e-9), "jaccard-bound"))
+    needed = F.ceil(F.col("theta") / (1 + F.col("theta")) * (F.col("n") + F.col("len")) - 1e-6)
+    pairs = terms.join(bound, "term").filter((F.col("theta") * F.col("len") <= F.col("n")) & (F.col("place") <= F.col("n") - F.greatest(F.lit(1), needed) + 1)).select("q", "doc").distinct()
+    out = stage(ranked(counted(stage(pairs, "jaccard-pairs")), ["q"], [F.round("score", 9).desc(), F.col("doc")], k).select("q", "rank", "doc", "score"), "jaccard-found")
+    discard(qt), discard(terms)
+    return out
+
+
+def jaccard_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(``q``, ``doc``, ``score``) of every pair that shares a term, for a blend in which other parts can outweigh the overlap; nothing is ranked."""
+    qs, ds = (df.select(c, F.array_distinct("tokens").alias("tokens")) for df, c in ((queries, "q"), (docs, "doc")))
     qt, dt = qs.select("q", F.size("tokens").alias("nq"), F.explode("tokens").alias("term")), ds.select("doc", F.size("tokens").alias("nd"), F.explode("tokens").alias("term"))
     met = qt.join(dt, "term").groupBy("q", "doc").agg(F.count(F.lit(1)).alias("both"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
-    scored = met.select("q", "doc", (F.col("both") / (F.col("nq") + F.col("nd") - F.col("both"))).alias("score"))
-    return ranked(scored, ["q"], [F.round("score", 9).desc(), F.col("doc")], k)
+    return met.select("q", "doc", (F.col("both") / (F.col("nq") + F.col("nd") - F.col("both"))).alias("score"))
+
+
+class ImpactIndex:
+    """Postings of ``terms`` (term, doc, impact) in blocks by falling impact, with the largest impact of each block and term.
+
+    A term's tiers are shares of its largest impact, and a tier of many documents is
+    several blocks, so neither a frequent term nor a tier is one group.
+    """
+
+    def __init__(self, impacts: DataFrame):
+        self.impacts = impacts
+        self.tops = stage(impacts.groupBy("term").agg(F.max("impact").alias("top"), F.count(F.lit(1)).alias("df")), "index-tops")
+        tier = F.least(F.lit(TIERS - 1), F.floor(TIERS * (1 - F.col("impact") / F.col("top")))).alias("tier")
+        salt = F.pmod(F.xxhash64("doc"), F.ceil(F.col("df") / BLOCK)).alias("salt")
+        blocks = impacts.join(self.tops, "term").select("term", "doc", "impact", tier, salt).groupBy("term", "tier", "salt")
+        self.blocks = stage(blocks.agg(F.max("impact").alias("most"), F.collect_list(F.struct("doc", "impact")).alias("rows")), "index-blocks")
+
+    def postings(self) -> DataFrame:
+        """(``term``, ``most``, ``doc``, ``impact``): postings with the largest impact of their block."""
+        return self.blocks.select("term", "most", F.explode("rows").alias("r")).select("term", "most", "r.doc", "r.impact")
+
+    def sums(self, wanted: DataFrame, keep: Column | None = None, *more: Column) -> DataFrame:
+        """(``q``, ``doc``, ``score``, ...): impacts added up over the terms ``wanted`` (q, term, ...), from the blocks that ``keep`` lets through."""
+        met = self.blocks.join(wanted, "term")
+        rows = (met if keep is None else met.filter(keep)).withColumn("r", F.explode("rows"))
+        return rows.groupBy("q", "r.doc").agg(F.sum("r.impact").alias("score"), *more)
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """As ``jaccard_topk``, by BM25 over distinct query terms; the score is s / (s + 1), rounded to 6 before ranking."""
-    qt = stage(queries.select("q", F.explode(F.array_distinct("tokens")).alias("term")), "bm25-asked")
-    asked = qt.select("term").distinct()
-    few = qt.count() <= BROADCAST_TERMS
-    # texts are read once for their lengths and once for their counts of the terms asked for
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    words = docs.select("doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    terms = stage(words.join(F.broadcast(asked) if few else asked, "term", "left_semi").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "bm25-terms")
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    one = lambda x: x.withColumn("one", F.lit(1))
-    wanted = one(qt.join(df, "term")).join(one(totals), "one").select("q", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    met = terms.join(F.broadcast(wanted) if few else wanted, "term").groupBy("q", "doc").agg(F.sum(part).alias("s"))
-    scored = met.select("q", "doc", F.round(F.when(F.col("s") > 0, F.col("s") / (F.col("s") + 1)).otherwise(0.0), 6).alias("score"))
-    return ranked(scored, ["q"], [F.col("score").desc(), F.col("doc")], k)
+    """As ``jaccard_topk``, by BM25 over distinct query terms; the score is s / (s + 1), rounded to 6 before ranking.
+
+    Terms of a query stand by falling largest impact. The first of them find documents,
+    the best of which give it a least score. A block of postings is read only where a
+    document that has none of the terms before could still reach that score; documents
+    that what was passed over could lift to it are looked up there.
+    """
+    qt, terms = _asked(queries, docs, "bm25", F.count(F.lit(1)).alias("tf"))
+    totals = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("tokens")).alias("mean")).first()
+    df = F.broadcast(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))) if qt.count() <= BROADCAST_TERMS else terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(totals["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(totals["mean"])))
+    index = ImpactIndex(stage(terms.join(df, "term").select("term", "doc", impact.alias("impact")), "bm25-impacts"))
+    down = Window.partitionBy("q").orderBy(F.col("top").desc(), "term")
+    left = F.sum("top").over(down.rowsBetween(0, Window.unboundedFollowing))
+    own = stage(qt.join(index.tops, "term").select("q", "term", "top", F.row_number().over(down).alias("place"), left.alias("left"), F.sum("top").over(Window.partitionBy("q")).alias("all")), "bm25-own")
+    asked = _by_query(own.select("q", "term"))
+    full = lambda pairs: index.impacts.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_TERMS else pairs, "doc").join(asked, ["q", "term"]).groupBy("q", "doc").agg(F.sum("impact").alias("score"))
+    least = lambda found: _kth(full(stage(ranked(found, ["q"], [F.col("score").desc(), F.col("doc")], TRIED * k).select("q", "doc"), "bm25-near")), k)
+
+    def bounded(theta: DataFrame) -> DataFrame:
+        x = F.col("theta") / (F.col("theta") + 1) - 1.5e-6  # what rounds to the same score is no worse
+        return own.join(theta, "q", "left").withColumn("theta", F.coalesce(F.when(x > 0, x / (1 - x)), F.lit(0.0)))
+
+    own_bound = stage(bounded(least(index.sums(_by_query(own.filter(F.col("place") <= FIRST).select("q", "term"))))), "bm25-bound")
+    # a document without a query's terms before this one can still get the block's largest impact and what the terms after it hold
+    finds = F.col("most") + F.col("left") - F.col("top") >= F.col("theta")
+    passed = index.blocks.select("term", "most").join(_by_query(own_bound), "term").filter(~finds).groupBy("q", "term").agg(F.max("most").alias("passed"))
+    own_passed = stage(own_bound.join(passed, ["q", "term"], "left").na.fill(0.0, ["passed"]), "bm25-passed")
+    some = stage(index.sums(_by_query(own_passed), finds, F.sum(F.col("r.impact") - F.col("passed")).alias("more")), "bm25-some")
+    tight = own_passed.groupBy("q").agg(F.sum("passed").alias("lift")).join(bounded(least(some)).groupBy("q").agg(F.first("theta").alias("theta")), "q")
+    alive = some.join(_by_query(stage(tight, "bm25-lift")), "q").filter(F.col("more") + F.col("lift") >= F.col("theta"))
+    alive = stage(alive.select("q", "doc", "score"), "bm25-alive")
+    pairs = alive.select("q", "doc")
+    rest = index.postings().join(F.broadcast(pairs) if pairs.count() <= BROADCAST_TERMS else pairs, "doc").join(_by_query(own_passed), ["q", "term"]).filter(~finds)
+    total = alive.unionByName(rest.select("q", "doc", F.col("impact").alias("score"))).groupBy("q", "doc").agg(F.sum("score").alias("s"))
+    scored = total.select("q", "doc", F.round(F.when(F.col("s") > 0, F.col("s") / (F.col("s") + 1)).otherwise(0.0), 6).alias("score"))
+    out = stage(ranked(scored, ["q"], [F.col("score").desc(), F.col("doc")], k).select("q", "rank", "doc", "score"), "bm25-found")
+    for old in (qt, terms, index.impacts, index.blocks, alive):
+        discard(old)
+    return out

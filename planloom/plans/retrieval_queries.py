@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from planloom.functions.numeric import clamp01, dot, jaccard, unit
 from planloom.functions.text import tokens
 from planloom.operators.relational import ranked
-from planloom.operators.retrieval import bm25_topk, jaccard_topk
+from planloom.operators.retrieval import bm25_topk, jaccard_scores, jaccard_topk
 from planloom.operators.search import Overlap, search_all
 from planloom.plans.register import query, table
 
@@ -135,7 +135,7 @@ s as (select q, doc, round(0.6::double * both_ / (nq + nd - both_) + 0.25::doubl
 select q, cast(rank as integer) as rank, doc, score from (select *, row_number() over (partition by q order by score desc, doc) as rank from s) where rank <= 3""")
 def hybrid_rerank(spark, d):
     q, docs = bags(spark, d)
-    lexical = jaccard_topk(q, docs, 1 << 30).drop("rank")
+    lexical = jaccard_scores(q, docs)
     info = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), clamp01(F.col("n_chars") / 20000.0).alias("mass"))
     good = table(spark, d, "labels").select(F.col("doc_id").alias("doc"), "quality")
     s = lexical.join(info, "doc").join(good, "doc", "left")
