@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from planloom.functions.numeric import difficulty, mcnemar, or_unknown, ratio0
+from planloom.operators.resampling import cluster_bounds, cluster_bounds_sql, paired_bounds, paired_bounds_sql
 from planloom.operators.rollups import costs, merge_maps, outcome_rates, recovery, strata
 from planloom.plans.register import query, table
 
@@ -259,87 +258,36 @@ def paired_difference(spark, d):
     return o.groupBy("lang").agg(F.round(F.coalesce(F.avg(F.col("good").cast("int") - F.col("toxic").cast("int")), F.lit(0.0)), 9).alias("mean_difference"), F.count(F.lit(1)).alias("n"))
 
 
-def _bootstrap(samples: int):
-    """Whole families drawn with replacement, seeded; both estimands with interpolated bounds. One row per family comes in."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("source")
-        total, n = pdf["total"].to_numpy(float), pdf["n"].to_numpy(float)
-        pick = np.random.default_rng(13).integers(0, len(pdf), (samples, len(pdf)))
-        by_task, by_family = total[pick].sum(1) / n[pick].sum(1), (total / n)[pick].mean(1)
-        q = lambda x: np.percentile(x, [2.5, 97.5])
-        return pd.DataFrame([[pdf["lang"].iloc[0], total.sum() / n.sum(), *q(by_task), (total / n).mean(), *q(by_family)]], columns=["lang", "uplift", "low", "high", "family_uplift", "family_low", "family_high"])
+_ROUNDED = ", ".join(f"round({c}, 9) as {c}" for c in ("uplift", "low", "high", "family_uplift", "family_low", "family_high"))
+FAMILIES_SQL = "(select lang, source, sum(quality - toxic) as total, count(*) as n from documents join labels using (doc_id) group by 1, 2)"
 
-    return run
 
-
-@query("cluster_bootstrap")
+@query("cluster_bootstrap", f"select lang, {_ROUNDED} from ({cluster_bounds_sql(FAMILIES_SQL, 'lang', 'source')})")
 def cluster_bootstrap(spark, d):
-    f = outcomes(spark, d).groupBy("lang", "source").agg(F.sum(F.col("good").cast("int") - F.col("toxic").cast("int")).cast("double").alias("total"), F.count(F.lit(1)).cast("double").alias("n"))
-    return f.groupBy("lang").applyInPandas(_bootstrap(10_000), "lang string, uplift double, low double, high double, family_uplift double, family_low double, family_high double")
-
-
-RESAMPLES = 2_000
-
-
-def bootstrap_bounds(diff, resamples: int = RESAMPLES):
-    """(``lang``, ``uplift``, ``low``, ``high``) of (lang, doc_id, x): mean difference and its percentile interval.
-
-    Every row is drawn Poisson(1) times in each resample, by hash of its id. Tasks add up
-    their rows' sums for each resample, so no row is repeated and nothing is gathered.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
-    salts = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-    def add(batches):
-        sums = {}
-
-        def rows():
-            langs = pa.array([g for g in sums for _ in range(resamples)], pa.string())
-            both = np.concatenate(list(sums.values()), axis=1)
-            sums.clear()
-            return pa.RecordBatch.from_arrays([langs, pa.array(np.tile(np.arange(resamples), len(langs) // resamples)), pa.array(both[0]), pa.array(both[1])], ["lang", "b", "x", "w"])
-
-        for batch in batches:
-            for lang, h, x in zip(batch.column("lang").to_pylist(), batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("x").to_pylist()):
-                z = salts + h
-                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                w = np.searchsorted(steps, (z ^ (z >> np.uint64(31))) / 2.0**64, "right").astype(float)
-                if lang not in sums:
-                    sums[lang] = np.zeros((2, resamples))
-                sums[lang] += np.stack([w * x, w])
-                if len(sums) > 200:
-                    yield rows()
-        if sums:
-            yield rows()
-
-    diff = diff.filter("x is not null")
-    parts = diff.select("lang", F.xxhash64("doc_id").alias("h"), "x").mapInArrow(add, "lang string, b long, x double, w double")
-    means = parts.groupBy("lang", "b").agg((F.sum("x") / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
-    bounds = means.groupBy("lang").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
-    point = diff.groupBy("lang").agg(F.avg("x").alias("uplift"))
-    return point.join(bounds, point["lang"].eqNullSafe(bounds["lang"])).select(point["lang"], "uplift", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))
+    """Mean difference by language with the interval of 10,000 draws of whole sources, over rows and over sources."""
+    f = outcomes(spark, d).groupBy("lang", "source").agg(F.sum(F.col("good").cast("int") - F.col("toxic").cast("int")).alias("total"), F.count(F.lit(1)).alias("n"))
+    c = cluster_bounds(f, "lang", "source")
+    return c.select("lang", *[F.round(x, 9).alias(x) for x in c.columns if x != "lang"])
 
 
 def paired(spark, d):
     return outcomes(spark, d).select("lang", "doc_id", (F.col("good").cast("int") - F.col("toxic").cast("int")).cast("double").alias("x"))
 
 
-@query("paired_bootstrap_bounds")
+_PAIRED_SQL = "(select lang, doc_id, (quality - toxic)::double as x from documents join labels using (doc_id))"
+
+
+@query("paired_bootstrap_bounds", f"select lang, round(uplift, 9) as uplift, round(low, 9) as low, round(high, 9) as high from ({paired_bounds_sql(_PAIRED_SQL, 'lang', 'doc_id')})")
 def paired_bootstrap_bounds(spark, d):
-    return bootstrap_bounds(paired(spark, d))
+    """Mean difference by language with the percentile interval of 2,000 samples of its rows."""
+    c = paired_bounds(paired(spark, d), "lang", "doc_id")
+    return c.select("lang", *[F.round(x, 9).alias(x) for x in ("uplift", "low", "high")])
 
 
-@query("paired_bootstrap", """select lang, round(avg(quality - toxic), 9) as uplift, true as inside from documents join labels using (doc_id) group by lang""")
+@query("paired_bootstrap", f"select lang, round(uplift, 9) as uplift, uplift between low and high as inside from ({paired_bounds_sql(_PAIRED_SQL, 'lang', 'doc_id')})")
 def paired_bootstrap(spark, d):
-    """Whether the mean difference lies in the interval of ``paired_bootstrap_bounds``; its SQL knows that only."""
-    return bootstrap_bounds(paired(spark, d)).select("lang", F.round("uplift", 9).alias("uplift"), ((F.col("uplift") >= F.col("low")) & (F.col("uplift") <= F.col("high"))).alias("inside"))
+    """Whether the mean difference lies in the interval of ``paired_bootstrap_bounds``."""
+    return paired_bounds(paired(spark, d), "lang", "doc_id").select("lang", F.round("uplift", 9).alias("uplift"), ((F.col("uplift") >= F.col("low")) & (F.col("uplift") <= F.col("high"))).alias("inside"))
 
 
 @query("contrast_catalogue", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions.numeric import mcnemar
 from planloom.operators.replay import replay
+from planloom.operators.resampling import cluster_bounds, cluster_bounds_sql
 from planloom.plans import outcome_queries, relational_queries, replay_queries, text_queries  # noqa: F401  what reports are made of
 from planloom.plans.register import ORACLE_SQL, QUERIES, query, table
 
@@ -79,9 +80,10 @@ with w as (select user_id, {_CELLS_SQL} from events where user_id is not null gr
 f as (select contrast, family, count(*) as n, sum(l) as l, sum(r) as r, count(*) filter (where l = 1 and r = 0) as b, count(*) filter (where l = 0 and r = 1) as c from p group by 1, 2),
 g as (select contrast, sum(n)::bigint as n, sum(l)::bigint as left_successes, sum(r)::bigint as right_successes, sum(b)::bigint as b, sum(c)::bigint as c, count(*) as families, round(avg((r - l)::double / n), 9) as family_mean from f group by 1)
 select contrast, n, left_successes, right_successes, b, c, families, family_mean, round(case when b + c = 0 then 1.0::double else least(1.0::double,
-  2 * list_sum(list_transform(range(0, (least(b, c) + 1)::bigint), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0::double))))) end, 8) as p_value from g""")
+  2 * list_sum(list_transform(range(0, (least(b, c) + 1)::bigint), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0::double))))) end, 8) as p_value, round(low, 9) as family_low, round(high, 9) as family_high
+from g join (select contrast, family_low as low, family_high as high from ({cluster_bounds_sql("(select contrast, family, r - l as total, n from f)", "contrast", "family")})) using (contrast)""")
 def official_results(spark, d):
-    """Every contrast of two cells that both have runs: successes, exact McNemar and the mean over families.
+    """Every contrast of two cells that both have runs: successes, exact McNemar, the mean over families and its interval.
 
     One pass makes a row per user with its outcome in each cell; pairs are then sums by
     contrast and family, so nothing is joined with itself.
@@ -98,7 +100,9 @@ def official_results(spark, d):
     g = f.groupBy("contrast").agg(
         F.sum("n").alias("n"), F.sum("l").alias("left_successes"), F.sum("r").alias("right_successes"), F.sum("b").alias("b"), F.sum("c").alias("c"),
         F.count(F.lit(1)).alias("families"), F.round(F.avg((F.col("r") - F.col("l")) / F.col("n")), 9).alias("family_mean"))
-    return g.select("*", F.round(mcnemar(F.col("b"), F.col("c")), 8).alias("p_value"))
+    bounds = cluster_bounds(f.select("contrast", "family", (F.col("r") - F.col("l")).alias("total"), "n"), "contrast", "family")
+    bounds = bounds.select("contrast", F.round("family_low", 9).alias("family_low"), F.round("family_high", 9).alias("family_high"))
+    return g.select("*", F.round(mcnemar(F.col("b"), F.col("c")), 8).alias("p_value")).join(bounds, "contrast")
 
 
 @query("model_generalisation", """

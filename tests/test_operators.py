@@ -150,18 +150,40 @@ def test_sign_flip_all_takes_every_source(spark):
     assert QUERIES["sign_flip_all"](spark, d).first()["families"] == docs.join(labels, "doc_id").select("source").distinct().count()
 
 
-def test_bootstrap_bounds(spark):
+def test_paired_bounds(spark):
     import numpy as np
 
-    from planloom.plans.outcome_queries import RESAMPLES, bootstrap_bounds
+    from planloom.operators.resampling import paired_bounds
 
     x = np.random.default_rng(4).integers(-1, 2, 400).astype(float)
-    r = bootstrap_bounds(spark.createDataFrame([("en", i, float(v)) for i, v in enumerate(x)], "lang string, doc_id long, x double")).first()
-    half = 1.96 * x.std() / np.sqrt(len(x))
-    assert RESAMPLES == 2_000 and abs(r["uplift"] - x.mean()) < 1e-9
+    rows = [("en", 7 * i - 900, float(v)) for i, v in enumerate(x)] + [("en", 1, None), ("one", 5, 0.5), (None, 3, 1.0), (None, 4, -1.0)]
+    got = {r.lang: r for r in paired_bounds(spark.createDataFrame(rows, "lang string, doc_id long, x double"), "lang", "doc_id").collect()}
+    r, half = got["en"], 1.96 * x.std() / np.sqrt(len(x))
+    assert abs(r["uplift"] - x.mean()) < 1e-9 and got[None]["uplift"] == 0 and (got["one"]["low"], got["one"]["high"]) == (0.0, 0.5)
     assert abs(r["low"] - (x.mean() - half)) < half / 6 and abs(r["high"] - (x.mean() + half)) < half / 6
 
 
+def test_cluster_bounds_equal_a_plain_bootstrap(spark):
+    import numpy as np
+
+    from planloom.operators.resampling import MIXES, PRIME, cluster_bounds
+
+    rnd = np.random.default_rng(5)
+    rows = [("a", f"f{i:02}", float(rnd.integers(-9, 10)), float(rnd.integers(10, 30))) for i in range(12)] + [("b", "only", 3.0, 4.0)]
+    got = {r.cell: r for r in cluster_bounds(spark.createDataFrame(rows, "cell string, family string, total double, n double"), "cell", "family", 3_000).collect()}
+    b, j = np.meshgrid(np.arange(3_000), np.arange(12), indexing="ij")
+    u = (b * 48_271 + j * 40_692 + 12_345) % PRIME
+    for add, more in MIXES:
+        u = (u * (u + add) + more) % PRIME
+    pick = u * 12 // PRIME
+    total, n = np.array([r[2] for r in rows[:12]]), np.array([r[3] for r in rows[:12]])
+    by_task, by_family = total[pick].sum(1) / n[pick].sum(1), (total / n)[pick].mean(1)
+    want = [total.sum() / n.sum(), *np.percentile(by_task, [2.5, 97.5]), (total / n).mean(), *np.percentile(by_family, [2.5, 97.5])]
+    assert np.allclose(list(got["a"])[1:], want) and list(got["b"])[1:] == [0.75] * 6
+    counts = np.bincount(pick.ravel(), minlength=12)
+    assert abs(counts / 3_000 - 1).max() < 0.08 and abs(by_family.std() - (total / n).std() / 12**0.5) < 0.01
+
+
 def test_searches_meet_every_row(spark):
     """Vectors of every label, parts of every brand and every turn are met, against brute force."""
     import numpy as np
