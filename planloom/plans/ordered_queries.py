@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from planloom.operators.ordered import forward_fill, last_segment_outcomes, running_state
+from planloom.operators.ordered import forward_fill, last_segment_outcomes, running_state, scan_fill
 from planloom.operators.relational import allocate, ranked, spread_sample
 from planloom.plans.register import query, table
 
@@ -34,6 +34,33 @@ def log_outcomes(spark, d):
     return out.withColumnRenamed("filled", "current_id")
 
 
+ONE_LOG_SQL = """
+with s as (select *, sum(case when event_type = 'signup' then 1 else 0 end) over (order by ts, event_id rows between unbounded preceding and current row) as segment from events),
+f as (select *, last_value(case when event_type in ('click', 'view') then event_id end ignore nulls) over (partition by segment order by ts, event_id rows between unbounded preceding and current row) as current_id from s)"""
+
+
+def one_log(spark, d):
+    """All events as one log: a signup opens the segment of a model, a click or view names an id."""
+    e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    return scan_fill(e, [], ["ts", "event_id"], F.col("event_type") == "signup", F.when(F.col("event_type").isin("click", "view"), F.col("event_id")))
+
+
+@query("one_log_fill", ONE_LOG_SQL + "select event_id, cast(segment as bigint) as segment, current_id from f")
+def one_log_fill(spark, d):
+    """Segment and current id of every row of one log that no key divides."""
+    return one_log(spark, d).select("event_id", "segment", F.col("filled").alias("current_id"))
+
+
+@query("one_log_outcomes", ONE_LOG_SQL + """, m as (select segment, user_id % 7 as model from s where event_type = 'signup'), l as (select model, max(segment) as segment from m group by 1)
+select model, current_id as task_id, arg_max(event_type = 'purchase', (ts, event_id)) as success from f join l using (segment) where event_type in ('purchase', 'error') and current_id is not null group by 1, 2""")
+def one_log_outcomes(spark, d):
+    """A model named again starts afresh: its last segment counts, and in it the last outcome of each id."""
+    rows = one_log(spark, d)
+    models = rows.filter("event_type = 'signup'").groupBy((F.col("user_id") % 7).alias("model")).agg(F.max("segment").alias("segment"))
+    told = rows.join(models, "segment").filter(F.col("event_type").isin("purchase", "error") & F.col("filled").isNotNull())
+    return told.groupBy("model", F.col("filled").alias("task_id")).agg(F.max_by(F.col("event_type") == "purchase", F.struct("ts", "event_id")).alias("success"))
+
+
 @query("next_action_pairs", """select prev as a, event_type as b, count(*) as n from (select event_type, lag(event_type) over (partition by user_id order by ts, event_id) as prev from events) where prev is not null group by 1, 2""")
 def next_action_pairs(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

@@ -254,3 +254,20 @@ def test_memory_responses_and_export(spark, tmp_path):
     edges.write_text('{"task_id":"t","source":"s"}\n')
     with pytest.raises(Exception, match="record without relation"):
         records.read_edges(spark, str(edges)).collect()
+
+
+def test_scan_fill_equals_forward_fill(spark):
+    import random
+
+    from planloom.operators.ordered import forward_fill, scan_fill
+
+    rnd = random.Random(6)
+    rows = [(rnd.choice([1, 1, 1, 2, None]), i, rnd.choice(["reset"] + ["none"] * 30 + ["value"] * 2)) for i in range(900)] + [(3, 5_000, "none")]
+    df = spark.createDataFrame(rows, "user long, at long, kind string")
+    resets, value = F.col("kind") == "reset", F.when(F.col("kind") == "value", F.col("at"))
+    for by in ([], ["user"]):
+        want = forward_fill(df.withColumn("one", F.lit(1)), by or ["one"], [F.col("at")], resets, value)
+        key = lambda out: sorted((r["at"], r["segment"], r["filled"]) for r in out.collect())
+        for parts in (1, 7, 40):
+            assert key(scan_fill(df, by, ["at"], resets, value, parts)) == key(want)
+    assert scan_fill(df.limit(0), ["user"], ["at"], resets, value).collect() == []
