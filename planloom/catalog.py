@@ -9,6 +9,7 @@ from planloom.plans import (  # noqa: F401  importing a module registers its que
     replay_queries,
     report_queries,
     retrieval_queries,
+    source_queries,
     text_queries,
 )
 from planloom.plans.register import ORACLE_SQL, QUERIES

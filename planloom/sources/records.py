@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planloom.functions.canonical import canonical_row
+
 TASK_DDL = """id string, split string, source string, instruction string, tags array<string>, slots map<string,string>, initial_facts array<string>, goal_facts array<string>,
 allowed_actions array<string>, gold_plan array<string>, action_model map<string,struct<preconditions:array<string>,add_effects:array<string>,del_effects:array<string>>>,
 safety_rules struct<should_reject:boolean,forbidden_actions:array<string>,forbidden_goal_facts:array<string>,hazard_keywords:array<string>>"""
@@ -49,11 +53,15 @@ def read_cells(spark: SparkSession, root: str) -> DataFrame:
     return df.select("*", *[F.get(parts, i).alias(n) for i, n in enumerate(("model", "planner", "harness"))])
 
 
+def _digest_metrics(df: DataFrame) -> list[Column]:
+    """Row count and sums of two 64-bit hashes of each row's canonical JSON: no order of rows, columns or keys changes them."""
+    row = canonical_row(df.schema)
+    return [F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(row).cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit("b"), row).cast("decimal(38,0)")).alias("b")]
+
+
 def content_digest(df: DataFrame) -> str:
-    """Order-free digest of all rows: sums of two 64-bit row hashes and the row count."""
-    row = F.to_json(F.struct(*sorted(df.columns)))
-    r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(row).cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit("b"), row).cast("decimal(38,0)"))).first()
-    return "-".join(str(x) for x in r)
+    """Digest of all rows as ``rows-a-b``; equal for equal rows in any order."""
+    return "-".join(str(x) for x in df.agg(*_digest_metrics(df)).first())
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -61,19 +69,54 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode(mode).text(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _noted(spark: SparkSession, path: str) -> str | None:
+    """The digest that ``write_checked`` left in the folder."""
+    at, fs = _hadoop(spark, f"{path}/_digest")
+    return spark.read.text(f"{path}/_digest/*").first()[0] if fs.exists(at) else None
+
+
+def write_checked(df: DataFrame, path: str, unique: str | None = None, required: list[str] | None = None) -> dict:
+    """Write Parquet whose constraints, row count and digest come from the job that writes it.
+
+    The rows go to a folder beside ``path``; observed metrics of that one job say how many
+    rows repeat the key ``unique`` and how many lack one of ``required``. With any of
+    these, or where ``path`` holds other rows, the folder is deleted and ValueError raised;
+    the same rows leave ``path`` alone. Returns ``rows``, ``digest`` and whether it was ``written``.
+    """
+    spark, pending = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    seen, counted = Observation(), df
+    checks = [F.coalesce(F.count_if(F.col(f"`{c}`").isNull()), F.lit(0)).alias(f"without {c}") for c in required or []]
+    if unique:  # the rows after the first of each key
+        first = F.row_number().over(Window.partitionBy(unique).orderBy(F.lit(1)))
+        counted = counted.withColumn("_nth", first)
+        checks.append(F.coalesce(F.count_if(F.col("_nth") > 1), F.lit(0)).alias(f"repeated {unique}"))
+    counted.observe(seen, *_digest_metrics(df), *checks).select(*[F.col(f"`{c}`") for c in df.columns]).write.parquet(pending)
+    got = seen.get
+    digest, broken = "-".join(str(got[k]) for k in ("rows", "a", "b")), {k: v for k, v in got.items() if k not in ("rows", "a", "b") and v}
+    here, fs = _hadoop(spark, pending)
+    there, _ = _hadoop(spark, path)
+    if broken or fs.exists(there):
+        fs.delete(here, True)
+        if broken:
+            raise ValueError(", ".join(f"{v} rows {k}" for k, v in sorted(broken.items())))
+        old = _noted(spark, path) or content_digest(spark.read.parquet(path))
+        if old != digest:
+            raise ValueError(f"{path} holds other rows")
+        return {"rows": got["rows"], "digest": digest, "written": False}
+    spark.createDataFrame([(digest,)], "digest string").coalesce(1).write.text(f"{pending}/_digest")
+    if not fs.rename(here, there):
+        raise ValueError(f"{path} could not be put in place")
+    return {"rows": got["rows"], "digest": digest, "written": True}
+
+
 def write_once(df: DataFrame, path: str) -> bool:
     """Write Parquet; an existing table of the same rows is left alone (False), any other raises."""
-    from pyspark.errors import AnalysisException
-
-    spark = df.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:
-        df.write.parquet(path)
-        return True
-    if set(old.columns) != set(df.columns) or content_digest(old) != content_digest(df):
-        raise ValueError(f"{path} holds other rows")
-    return False
+    return write_checked(df, path)["written"]
 
 
 def file_digests(spark: SparkSession, glob: str) -> DataFrame:
