@@ -8,7 +8,7 @@ from planloom.functions.numeric import clamp01, dot, jaccard, unit
 from planloom.functions.text import tokens
 from planloom.operators.relational import ranked
 from planloom.operators.retrieval import bm25_topk, jaccard_scores, jaccard_topk
-from planloom.operators.search import Overlap, search_all
+from planloom.operators.search import field_topk, vector_topk
 from planloom.plans.register import query, table
 
 TOK = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
@@ -78,42 +78,39 @@ def cosine_topk(spark, d):
     return ranked(s, ["q"], [F.col("score").desc(), F.col("doc")], 3)
 
 
-def structured_scores(asked):
-    names, kinds, sizes = Overlap(asked["n"].to_pylist()), Overlap(asked["t"].to_pylist()), asked["size"].to_pandas().to_numpy()
-    return lambda row: (0.4 * names(row["n"]) + 0.3 * kinds(row["t"]) + 0.2 * (sizes == row["size"])) / 0.9
+_P_TOK = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]+'))"
+_JAC = "coalesce(len(list_intersect(a.{0}, b.{0}))::double / nullif(len(list_distinct(list_concat(a.{0}, b.{0}))), 0), 0)"
 
 
-@query("structured_topk_all")
+@query("structured_topk_all", f"""
+with p as (select p_partkey, p_size, {_P_TOK.format('p_name')} as n, {_P_TOK.format('p_type')} as t from part),
+s as (select a.p_partkey as q, b.p_partkey as doc, round((0.4::double * {_JAC.format('n')} + 0.3::double * {_JAC.format('t')} + 0.2::double * (a.p_size = b.p_size)::int) / 0.9::double, 6) as score from p a join p b on a.p_partkey <> b.p_partkey where a.p_partkey % 20 = 0)
+select q, cast(rank as integer) as rank, doc, score from (select *, row_number() over (partition by q order by score desc, doc) as rank from s) where rank <= 3""")
 def structured_topk_all(spark, d):
     """As ``structured_topk``, against parts of every brand. Queries: keys divisible by 20."""
-    p = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.lit(0).cast("long").alias("part"), F.col("p_size").alias("size"), tokens(F.col("p_name")).alias("n"), tokens(F.col("p_type")).alias("t"))
-    return search_all(p.filter("id % 20 = 0"), p, structured_scores, 3).select("q", "rank", "doc", "score")
-
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("part"), F.col("p_size").alias("size"), tokens(F.col("p_name")).alias("n"), tokens(F.col("p_type")).alias("t"))
+    return field_topk(p.filter("id % 20 = 0"), p, {"n": 0.4, "t": 0.3}, {"size": 0.2}, 3, 0.9).select("q", "rank", "doc", "score")
 
-def memory_scores(asked):
-    texts, roles, kinds = Overlap(asked["t"].to_pylist()), asked["role"].to_pandas().to_numpy(), asked["id"].to_numpy() % 5
-    return lambda row: texts(row["t"]) + ((roles == row["role"]) & (row["role"] is not None)) + 0.25 * (kinds == row["id"] % 5)
 
-
-@query("memory_topk_all")
+@query("memory_topk_all", f"""
+with m as (select conv_id, turn, role, conv_id % 5 as family, {_P_TOK.format('text')} as t from conversations where text is not null),
+s as (select a.conv_id as q, a.turn as q_turn, b.conv_id as doc, b.turn as doc_turn, round({_JAC.format('t')} + coalesce((a.role = b.role)::int, 0) + 0.25::double * (a.family = b.family)::int, 6) as score
+      from m a join m b on a.conv_id <> b.conv_id where a.conv_id % 20 = 0)
+select q, q_turn, doc, doc_turn, score from (select *, row_number() over (partition by q, q_turn order by score desc, doc, doc_turn) as rank from s) where rank = 1""")
 def memory_topk_all(spark, d):
     """As ``memory_topk``, every turn against every turn of the other conversations. Queries: conversations divisible by 20."""
-    m = table(spark, d, "conversations").filter("text is not null").select(F.col("conv_id").cast("long").alias("id"), F.col("turn").cast("long").alias("part"), "role", tokens(F.col("text")).alias("t"))
-    return search_all(m.filter("id % 20 = 0"), m, memory_scores, 1).select("q", F.col("q_part").alias("q_turn"), "doc", F.col("doc_part").alias("doc_turn"), "score")
-
+    m = table(spark, d, "conversations").filter("text is not null").select(F.col("conv_id").alias("id"), F.col("turn").alias("part"), "role", (F.col("conv_id") % 5).alias("family"), tokens(F.col("text")).alias("t"))
+    return field_topk(m.filter("id % 20 = 0"), m, {"t": 1.0}, {"role": 1.0, "family": 0.25}, 1).select("q", F.col("q_part").alias("q_turn"), "doc", F.col("doc_part").alias("doc_turn"), "score")
 
-def cosine_scores(asked):
-    import numpy as np
 
-    vectors = np.array(asked["e"].to_pylist(), float)
-    return lambda row: vectors @ np.array(row["e"], float)
-
-
-@query("cosine_topk_all")
+@query("cosine_topk_all", """
+with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and not list_contains(list_transform(embedding, lambda x: x is null or isnan(x)), true)),
+s as (select a.vec_id as q, b.vec_id as doc, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
+select q, cast(rank as integer) as rank, doc, score from (select *, row_number() over (partition by q order by score desc, doc) as rank from s) where rank <= 3""")
 def cosine_topk_all(spark, d):
     """As ``cosine_topk``, against vectors of every label; those without a direction have no score. Queries: ids divisible by 20."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.lit(0).cast("long").alias("part"), unit(F.transform("embedding", lambda x: x.cast("double"))).alias("e")).filter("e is not null and not exists(e, x -> x is null or isnan(x))")
-    return search_all(v.filter("id % 20 = 0"), v, cosine_scores, 3).select("q", "rank", "doc", "score")
+    return vector_topk(v.filter("id % 20 = 0"), v, 3).select("q", "rank", "doc", "score")
 
 
 @query("state_alignment", """
