@@ -3,6 +3,7 @@
 from planloom.plans import (  # noqa: F401  importing a module registers its queries
     graph_queries,
     graph_search_queries,
+    harness_queries,
     ordered_queries,
     outcome_queries,
     relational_queries,

@@ -82,3 +82,10 @@ def is_affordance(fact: Column, prefixes: list[str]) -> Column:
 def substitute_slots(action: Column, old: Column, new: Column) -> Column:
     """Replace each slot value of ``old`` that ``new`` names too, in entry order, as plain text."""
     return F.aggregate(F.map_entries(old), action, lambda acc, e: F.when(F.map_contains_key(new, e["key"]) & (e["value"] != ""), F.replace(acc, e["value"], F.element_at(new, e["key"]))).otherwise(acc))
+
+
+def split_action(action: Column) -> Column:
+    """``struct<name, inner>``: cut at the first bracket where the trimmed text ends in one; else all of it and null."""
+    t, at = F.trim(action), F.instr(F.trim(action), "(")
+    called = (at > 0) & t.endswith(")")
+    return F.struct(F.when(called, F.trim(F.substring(t, F.lit(1), at - 1))).otherwise(t).alias("name"), F.when(called, F.substring(t, at + 1, F.length(t) - at - 1)).alias("inner"))

@@ -83,3 +83,16 @@ def allocate(groups: DataFrame, key: str, n: str, limit: int) -> DataFrame:
     shrink = F.row_number().over(Window.orderBy(can.desc(), F.col(n).desc(), key))
     seats = F.col("seats") + F.when(F.col("short") > 0, (grow <= F.col("short")).cast("int")).when(F.col("short") < 0, -((shrink <= -F.col("short")) & (F.col("seats") > 1)).cast("int")).otherwise(0)
     return s.select(key, n, F.least(seats, F.col(n).cast("int")).alias("seats"))
+
+
+def phase_filter(df: DataFrame, column: str, phase: str, registered: dict[str, list]) -> DataFrame:
+    """Rows of the values that belong to ``phase``; a phase that is not registered raises at once."""
+    if phase not in registered:
+        raise ValueError(f"unknown phase {phase!r}; registered: {', '.join(sorted(registered))}")
+    return df.filter(F.col(column).isin(registered[phase]))
+
+
+def short_list(items: Column, most: int = 8) -> Column:
+    """The first ``most`` of an array joined by commas, with ``... (+n)`` for the others."""
+    rest = F.size(items) - most
+    return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(rest > 0, F.concat(F.lit(", ... (+"), rest.cast("string"), F.lit(")"))).otherwise(""))
