@@ -16,11 +16,6 @@ TIERS = 16  # of a term's postings, by impact
 BLOCK = 4096  # postings of a tier that stand together
 
 
-def term_table(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """(``key``, ``term``, ``tf``) of a token array column."""
-    return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def _asked(queries: DataFrame, docs: DataFrame, label: str, *more: Column) -> tuple[DataFrame, DataFrame]:
     """Staged distinct terms of the queries, and staged (``doc``, ``term``, ``len``, ...) of those terms in ``docs``; texts are read once."""
     qt = stage(queries.select("q", F.explode(F.array_distinct("tokens")).alias("term")), f"{label}-asked")
