@@ -19,6 +19,7 @@ from planloom.llm.quality import score_quality
 from planloom.sources.scratch import stage
 
 ORACLE_SQL = None
+LINE_PAGES = 5  # fewer documents that share a line are copies, which the next stage tells apart
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that too many documents of their source carry."""
-    left = drop_boilerplate(docs, host_col="source")
+    left = drop_boilerplate(docs, host_col="source", min_pages=LINE_PAGES)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
