@@ -17,7 +17,7 @@ from planloom.llm.columns import table, without
 from planloom.sources.scratch import discard, stage
 
 RATIO = 0.1  # a line on more than this share of a host's pages is boilerplate ...
-MIN_PAGES = 5  # ... if at least this many pages carry it
+MIN_PAGES = 2  # ... if pages share it at all
 
 #: What a line is compared by: the text without blanks at its ends.
 BLANKS = " \t\r\x0b\x0c"
@@ -90,7 +90,7 @@ s as (select rid, host, string_split(text, chr(10)) as lines from p),
 t as (select host, count(*) as total from p group by host),
 u as (select distinct rid, host, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as line from (select rid, host, unnest(lines) as x from s)),
 b as (select u.host, line from u join t on u.host is not distinct from t.host where line <> ''
-      group by u.host, line having count(*) >= 5 and count(*) > 0.1::double * any_value(total)),
+      group by u.host, line having count(*) >= 2 and count(*) > 0.1::double * any_value(total)),
 g as (select host, list(line) as gone from b group by host)
 select page_id, p.host, array_to_string(k, chr(10)) as text,
        cast(case when p.text is null then 0 else len(lines) end as bigint) as n_lines,

@@ -64,7 +64,7 @@ def test_every_stage_equals_brute_force(spark):
     got = {r.doc_id: r.score for r in quality.op7_quality(spark, d).collect()}
     assert got == pytest.approx(scores, abs=1e-6)
     have = [x for x in have if scores[x[0]] >= 0.5]
-    lines = dict(brute.without_boilerplate([(i, s, t) for i, s, t in have], line_dedup.RATIO, line_dedup.MIN_PAGES))
+    lines = dict(brute.without_boilerplate([(i, s, t) for i, s, t in have], line_dedup.RATIO, corpus_pipeline.LINE_PAGES))
     have = [(i, s, lines[i]) for i, s, _ in have]
     first = brute.components([(i, t) for i, _, t in have], 5, 80, 100)
     have = [x for x in have if first[x[0]][1] == x[0]]
