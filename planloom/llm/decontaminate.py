@@ -42,8 +42,8 @@ def _winnowed(grams: Column, span: int) -> Column:
 
 
 def _place(length: int):
-    """Builder of a window's place from its start."""
-    return lambda s: F.struct(s.alias("s"), F.lit(length).alias("len"))
+    """Builder of a window's place and words from its start; made where the words are, so no row of a window carries them all."""
+    return lambda s: F.struct(s.alias("s"), F.lit(length).alias("len"), F.array_join(F.slice("_words", s + 1, length), " ").alias("key"))
 
 
 def _with_grams(df: DataFrame, text_col: str, gram: int) -> DataFrame:
@@ -102,9 +102,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         lambda i: F.sequence(F.greatest(i - (window - gram), F.lit(0)), F.least(i, last)))
     places = [F.when(last >= 0, F.transform(F.array_distinct(F.flatten(near)), _place(window)))]
     places += [F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(0), F.size("_words") - n), _place(n))) for n in short]
-    none = F.array().cast("array<struct<s:int,len:int>>")
-    again = again.select("_key", "_words", F.explode_outer(F.concat(*[F.coalesce(p.cast("array<struct<s:int,len:int>>"), none) for p in places])).alias("at"))
-    again = again.filter("at is not null").select("_key", "at", F.col("at.len").alias("len"), F.array_join(F.slice("_words", F.col("at.s") + 1, F.col("at.len")), " ").alias("key"))
+    none = F.array().cast("array<struct<s:int,len:int,key:string>>")
+    again = again.select("_key", F.explode_outer(F.concat(*[F.coalesce(p.cast("array<struct<s:int,len:int,key:string>>"), none) for p in places])).alias("p"))
+    again = again.filter("p is not null").select("_key", F.struct("p.s", "p.len").alias("at"), "p.len", "p.key")
     found = again.join(windows, ["len", "key"]).groupBy("_key").agg(F.collect_set("at").alias("at"), F.collect_set("item").alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a["s"], a["s"] + a["len"] - 1))))
     found = stage(found.select(
