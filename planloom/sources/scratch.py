@@ -26,11 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder, in folders by column ``by`` if it is given, and return a reader of that copy."""
+def stage(df: DataFrame, label: str, by: str | None = None, group_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, in folders by column ``by`` if it is given, and return a reader of that copy.
+
+    ``group_bytes`` bounds a row group, so that more tasks can share a file that is dear to work on.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    (writer.option("parquet.block.size", group_bytes) if group_bytes else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
