@@ -10,6 +10,7 @@ probability, and these sum to one over all ids. Nothing here knows of Spark.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -229,16 +230,22 @@ class Attention:
 
 
 def windows(seqs: list[np.ndarray], end: int, pad: int) -> np.ndarray:
-    """Rows of WIDE + 1 ids: PAST + 1 before the NEW scored ones, each id of ``seqs`` scored in one row.
+    """All windows of ``seqs`` at once."""
+    return np.concatenate(list(window_parts(seqs, end, pad)))
+
+
+def window_parts(seqs: list[np.ndarray], end: int, pad: int, most: int = 4096) -> Iterator[np.ndarray]:
+    """Rows of WIDE + 1 ids: PAST + 1 before the NEW scored ones, each id of ``seqs`` scored in one row; at most ``most`` rows at a time.
 
     Each text begins after an ``end``; ``pad`` stands where it has no id.
     """
     size = np.array([len(s) + 1 for s in seqs])
-    seq = np.concatenate([part for s in seqs for part in ((end,), s)])
+    seq = np.concatenate([part for s in seqs for part in ((end,), s)]).astype(np.int32)
     bounds = np.concatenate([[0], np.cumsum(size)])
     rows = -(-(size - 1) // NEW)
     first, last = np.repeat(bounds[:-1], rows), np.repeat(bounds[1:], rows)
     start = first + (np.arange(len(first)) - np.repeat(np.cumsum(rows) - rows, rows)) * NEW
-    at = start[:, None] + np.arange(-PAST, NEW + 1)
-    ok = (at >= first[:, None]) & (at < last[:, None])
-    return np.where(ok, seq[np.clip(at, 0, len(seq) - 1)], pad)
+    for i in range(0, len(start), most):
+        at = start[i : i + most, None] + np.arange(-PAST, NEW + 1)
+        ok = (at >= first[i : i + most, None]) & (at < last[i : i + most, None])
+        yield np.where(ok, seq[np.clip(at, 0, len(seq) - 1)], np.int32(pad))

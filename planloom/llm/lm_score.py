@@ -1,17 +1,17 @@
 """Operator 9: score texts by word counts and by a causal self-attention model.
 
 Counts. Words are counted over all training texts. The most frequent ones, a bounded
-number, travel with the scoring tasks; the occurrences of all others meet the full
-count table in a join.
-
-Model. Words are cut into subword ids of a given vocabulary, and one layer of masked
-self-attention (``attention.py``) predicts each id from the 9 to 32 before it in its
-window; windows overlap, and each id is scored once. The counts of all ids of all
-training texts shape the model's output; its weights are fitted on windows of every
-training text, one for every ``stride`` words of it, whatever the input's size.
-Texts are dealt by hash to ROUNDS rounds. In each, every task goes over its windows by
-Adagrad steps from common weights, then the executors average what the tasks found,
-each weight by the squared gradients that the tasks saw of it.
+number, travel with the tasks that cut texts; the occurrences of all others meet the
+full count table in a join.
+
+Model. Words are cut once into subword ids of a given vocabulary, which are staged, and
+one layer of masked self-attention (``attention.py``) predicts each id from the 9 to 32
+before it in its window; windows overlap, and each id is scored once. The counts of all
+ids of all training texts shape the model's output; its weights are fitted on every
+window of every training text, so each training id is a target once. Texts are dealt by
+hash to ROUNDS rounds. In each, every task goes over its windows by Adagrad steps from
+common weights, then the executors average what the tasks found, each weight by the
+squared gradients that the tasks saw of it.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planloom.llm.attention import PAST, WIDE, Attention, windows
+from planloom.llm.attention import Attention, window_parts
 from planloom.llm.columns import table, without
 from planloom.llm.tokens import byte_texts
 from planloom.sources.scratch import discard, stage
@@ -43,9 +43,10 @@ PATTERN = r""" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOP_WORDS = 150_000  # at most this many counts travel with the tasks
 CACHE_WORDS = 300_000
 COUNTER_WORDS = 200_000
-STRIDE = 240  # words of a text for which one window of NEW ids is learned from
 ROUNDS = 4
-STEP, POOL = 64, 8_192  # windows of an Adagrad step, and windows among which steps are drawn
+STEP, POOL = 128, 8_192  # windows of an Adagrad step, and windows among which steps are drawn
+GROUP_BYTES = 2 << 20  # of a row group of staged ids, so that few large files still make many tasks
+MOST_IDS = 65_000  # two bytes hold an id
 PIECE = 1_024  # weights a row while tasks' results are averaged
 
 _PIECES = "at long, tasks long, places long, sums binary"
@@ -167,38 +168,6 @@ def _count_ids(vocabulary):
     return run
 
 
-def window_at(cutter: Cutter, words: list[bytes], at: int) -> np.ndarray:
-    """The window whose first word, or whose first scored word where a text begins, is ``words[at]``."""
-    end = cutter.enc.n_vocab
-    row = np.full(WIDE + 1, end + 1, np.int32)
-    if at == 0:
-        row[PAST] = end
-    free = row[PAST + 1 :] if at == 0 else row
-    ids = cutter.ids(words[at : at + WIDE + 1]) if words else np.zeros(0, np.int32)
-    if at + WIDE + 1 >= len(words):
-        ids = np.append(ids, np.int32(end))
-    ids = ids[: len(free)]
-    free[: len(ids)] = ids
-    return row
-
-
-def _training_windows(vocabulary, stride: int):
-    """The windows of each text to learn from: one for every ``stride`` words, at places drawn by hash, one at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(vocabulary.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part, found = batch.slice(i, 256), []
-                for text, draw in zip(byte_texts(part.column("text")), part.column("draw").to_pylist()):
-                    words = text.lower().split()
-                    first = draw % min(stride, len(words)) if words else 0
-                    found.append(b"".join(window_at(cutter, words, at).tobytes() for at in range(first, max(len(words), 1), stride)))
-                yield pa.RecordBatch.from_arrays([part.column("round"), pa.array(found, pa.binary())], ["round", "windows"])
-
-    return run
-
-
 def _learn(shared):
     """Goes over its windows; yields the weights, times the squared gradients seen of them, and these sums, in pieces."""
 
@@ -212,12 +181,13 @@ def _learn(shared):
             return sum(model.learn(found[i : i + STEP]) for i in range(0, len(found), STEP))
 
         for batch in batches:
-            for raw in batch.column("windows"):
-                pool.append(np.frombuffer(raw.as_buffer(), np.int32).reshape(-1, WIDE + 1))
-                held += len(pool[-1])
-                if held >= POOL:
-                    places += steps()
-                    held = 0
+            for text in batch.column("ids"):
+                for part in window_parts([staged_ids(text)], model.pad - 1, model.pad):
+                    pool.append(part)
+                    held += len(part)
+                    if held >= POOL:
+                        places += steps()
+                        held = 0
         if held:
             places += steps()
         if places:
@@ -246,12 +216,12 @@ def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(train: DataFrame, model: Attention) -> int:
-    """Fit ``model`` to the windows of ``train`` (round, windows); the places that were learned from."""
+    """Fit ``model`` to every window of the texts of ``train`` (round, ids); the places that were learned from."""
     spark = train.sparkSession
     learned = 0
     for now in range(ROUNDS):
         shared = spark.sparkContext.broadcast(pickle.dumps(model))
-        found = train.filter(F.col("round") == now).select("windows").mapInArrow(_learn(shared), _PIECES)
+        found = train.filter(F.col("round") == now).select("ids").mapInArrow(_learn(shared), _PIECES)
         # every piece is added up on one task of many; the driver gets each of them once
         pieces = found.repartition("at").mapInArrow(_add_pieces, _PIECES).toArrow().to_pylist()
         weights, sums = model.flat(model.p), model.flat(model.s)
@@ -267,26 +237,25 @@ def fit(train: DataFrame, model: Attention) -> int:
     return learned
 
 
-def _score(vocabulary, shared, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, end_log, model = shared.value
-        slots = Slots(Cutter(vocabulary.value), dict(zip(top[0].to_pylist(), top[1].tolist())))
-        end, pad = model.pad - 1, model.pad
-        for batch in batches:
-            n = batch.num_rows
-            texts = byte_texts(batch.column("_text"))
-            n_tokens, known, base, score = np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            tails: list = [None] * n
-            waiting, seqs, held = [], [], 0
+def staged_ids(value: pa.Scalar) -> np.ndarray:
+    """Ids of a text as they were staged, its end the last of them."""
+    return np.frombuffer(value.as_buffer(), np.uint16).astype(np.int32)
 
-            def flush():
-                nonlocal held
-                value = model.score(windows(seqs, end, pad)).astype(np.float64)
-                score[waiting] = np.add.reduceat(value, np.cumsum([0, *map(len, seqs[:-1])]))
-                waiting.clear(), seqs.clear()
-                held = 0
 
-            for i, text in enumerate(texts):
+def _cut(vocabulary, shared, names: list[str]):
+    """Counts' part of each text's results, the words that only the count table knows, and the text's ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, end_log = shared.value
+        cutter = Cutter(vocabulary.value)
+        slots = Slots(cutter, dict(zip(top[0].to_pylist(), top[1].tolist())))
+        last = np.uint16(cutter.enc.n_vocab).tobytes()
+
+        def results(part: pa.RecordBatch) -> pa.RecordBatch:
+            n = part.num_rows
+            n_tokens, known, base = np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+            tails, ids = [()] * n, []
+            for i, text in enumerate(byte_texts(part.column("_text"))):
                 words = text.lower().split()
                 s = slots.of(words)
                 log = slots.logs(s)
@@ -295,28 +264,52 @@ def _score(vocabulary, shared, names: list[str]):
                 known[i] = len(words) - far.sum()
                 base[i] = log[~far].sum() + end_log
                 if far.any():
-                    tails[i] = list(Counter(words[j] for j in np.flatnonzero(far)).items())
-                seqs.append(np.concatenate([slots.ids(s), [end]]))
+                    tails[i] = tuple(Counter(words[j] for j in np.flatnonzero(far)).items())
+                ids.append(slots.ids(s).astype(np.uint16).tobytes() + last)
+                if len(slots) > CACHE_WORDS:
+                    slots.reset()
+            offsets = np.cumsum([0, *map(len, tails)]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array([w for t in tails for w, _ in t], pa.binary()), pa.array([k for t in tails for _, k in t], pa.int64())], ["word", "tf"])
+            return pa.RecordBatch.from_arrays(
+                [part.column(i) for i in range(len(names))] + [pa.array(n_tokens), pa.array(known), pa.array(base), pa.ListArray.from_arrays(offsets, pairs), pa.array(ids, pa.binary())],
+                [*names, "n_tokens", "known", "base", "tail", "ids"])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                yield results(batch.slice(i, 256))
+
+    return run
+
+
+def _score(shared, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            score = np.zeros(batch.num_rows)
+            waiting, seqs, held = [], [], 0
+
+            def flush():
+                nonlocal held
+                value = np.concatenate([model.score(w) for w in window_parts(seqs, model.pad - 1, model.pad)]).astype(np.float64)
+                score[waiting] = np.add.reduceat(value, np.cumsum([0, *map(len, seqs[:-1])]))
+                waiting.clear(), seqs.clear()
+                held = 0
+
+            for i, text in enumerate(batch.column("ids")):
+                seqs.append(staged_ids(text))
                 waiting.append(i)
                 held += len(seqs[-1])
                 if held > 60_000:
                     flush()
-                if len(slots) > CACHE_WORDS:
-                    slots.reset()
             if waiting:
                 flush()
-            flat = [t for t in tails if t]
-            offsets = np.concatenate([[0], np.cumsum([len(t) if t else 0 for t in tails])]).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array([w for t in flat for w, _ in t], pa.binary()), pa.array([k for t in flat for _, k in t], pa.int64())], ["word", "tf"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(names))] + [pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(offsets, pairs)],
-                [*names, "n_tokens", "known", "base", "score", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(score)], [*names, "score"])
 
     return run
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, keep: list[str] | None = None,
-                top_words: int = TOP_WORDS, stride: int = STRIDE) -> DataFrame:
+                top_words: int = TOP_WORDS) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all, if none are named) with ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` and ``score``.
 
@@ -324,10 +317,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     any training text every base score is 0 and the model is as it was initialised. Both
     scores sum over the whole text. Repeated rows are counted as often as they occur and
     give equal results; input columns named like an output are replaced; an empty table
-    gives an empty result. ``vocabulary`` is a file of the driver, of up to 65,000 ids.
+    gives an empty result. ``vocabulary`` is a file of the driver, of up to 65,000 ids;
+    more raise an error. A very long text is laid out some thousands of windows at a time.
     """
     spark = docs.sparkSession
-    kept = without(docs, ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_text", "_row", "known", "base", "tail"])
+    kept = without(docs, ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_text", "_row", "_round", "known", "base", "tail", "ids"])
     names = keep if keep is not None else kept.columns
     text = F.col(text_col).cast("string")
     learn = docs.filter(~held_out(F.col(id_col)))
@@ -350,25 +344,28 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = (frequent["word"].combine_chunks() if frequent.num_rows else pa.array([], pa.binary()), np.log10(n_top + 0.1) - norm)
 
     raw = read_vocabulary(vocabulary)
+    if encoder(raw).n_vocab > MOST_IDS:
+        raise ValueError(f"{vocabulary} has more than {MOST_IDS} ids")
     words = spark.sparkContext.broadcast(raw)
     counts = np.full(encoder(raw).n_vocab + 1, 0.1)
     for r in vocab.mapInArrow(_count_ids(words), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] += r["n"]
     counts[-1] += ends
-    key = F.xxhash64(F.col(id_col).cast("string"), text)
-    drawn = learn.select(text.alias("text"), F.pmod(key, F.lit(ROUNDS)).cast("int").alias("round"), F.pmod(F.shiftright(key, 8), F.lit(1 << 30)).alias("draw"))
-    train = stage(drawn.mapInArrow(_training_windows(words, stride), "round int, windows binary"), "lm-train", by="round")
+    shared = spark.sparkContext.broadcast((top, float(np.log10(ends + 0.1) - norm)))
+    key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(ROUNDS)).cast("int")
+    src = kept.select(*[F.col(f"`{c}`") for c in names], held_out(F.col(id_col)).alias("held_out"), F.monotonically_increasing_id().alias("_row"), key.alias("_round"), text.alias("_text"))
+    carried = [*names, "held_out", "_row", "_round"]
+    schema = src.drop("_text").schema.add("n_tokens", "long").add("known", "long").add("base", "double").add("tail", _TAIL).add("ids", "binary")
+    cut = stage(src.mapInArrow(_cut(words, shared, carried), schema), "lm-cut", group_bytes=GROUP_BYTES)
     model = Attention(counts)
-    fit(train, model)
-    discard(train)
+    fit(cut.filter(~F.col("held_out")).select(F.col("_round").alias("round"), "ids"), model)
     model.prepare()
 
-    shared = spark.sparkContext.broadcast((top, float(np.log10(ends + 0.1) - norm), model))
-    src = kept.select(*[F.col(f"`{c}`") for c in names], held_out(F.col(id_col)).alias("held_out"), F.monotonically_increasing_id().alias("_row"), text.alias("_text"))
-    carried = [*names, "held_out", "_row"]
-    schema = src.drop("_text").schema.add("n_tokens", "long").add("known", "long").add("base", "double").add("score", "double").add("tail", _TAIL)
-    scored = stage(src.mapInArrow(_score(words, shared, carried), schema), "lm-scored")
-    rare = scored.select("_row", F.explode_outer("tail").alias("t")).filter("t is not null").select("_row", F.col("t.word").alias("word"), F.col("t.tf").alias("tf"))
+    fitted = spark.sparkContext.broadcast(model)
+    carried = [*names, "held_out", "_row", "n_tokens", "known", "base"]
+    told = cut.select(*[F.col(f"`{c}`") for c in carried], "ids")
+    scored = stage(told.mapInArrow(_score(fitted, carried), told.drop("ids").schema.add("score", "double")), "lm-scored")
+    rare = cut.select("_row", F.explode_outer("tail").alias("t")).filter("t is not null").select("_row", F.col("t.word").alias("word"), F.col("t.tf").alias("tf"))
     met = rare.join(vocab.filter(F.col("n") < cutoff), "word", "left")
     value = F.col("tf") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(float(norm)))
     tail = stage(met.groupBy("_row").agg(F.sum(value).alias("tail_score"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("tail_known")), "lm-tail")
@@ -377,7 +374,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"), "score")
-    discard(vocab)
+    for old in (vocab, cut):
+        discard(old)
+    for old in (words, shared, fitted):
+        old.destroy()
     return out
 
 

@@ -300,26 +300,44 @@ def test_op9_attention_gains_over_no_attention_and_over_subword_counts(spark):
     assert bits["attention"] < bits["blind"] - 0.5 and bits["attention"] < bits["counts"] - 0.5, bits
 
 
-def test_op9_learns_from_every_training_text(spark):
-    """A window for each ``stride`` words and one at least, at places that differ; nothing of it depends on how many texts there are."""
-    texts = spark.range(3_500).select(F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit(0).alias("round"), F.col("id").alias("draw"))
-    raw = spark.sparkContext.broadcast(VOCAB)
-    rows = texts.mapInArrow(lm_score._training_windows(raw, 240), "round int, windows binary").collect()
-    assert len(rows) == 3_500 and all(len(r.windows) == 4 * (attention.WIDE + 1) for r in rows)
-    long = spark.createDataFrame([("a " * 2_400, 0, 7)], "text string, round int, draw long")
-    assert len(long.mapInArrow(lm_score._training_windows(raw, 240), "round int, windows binary").first().windows) == 10 * 4 * (attention.WIDE + 1)
-
-
-def test_op9_training_windows_are_the_texts_ids(spark):
-    cutter = lm_score.Cutter(VOCAB)
-    words = [f"word{i}" for i in range(40)]
-    ids, end = cutter.ids([w.encode() for w in words]), cutter.enc.n_vocab
-    first = lm_score.window_at(cutter, [w.encode() for w in words], 0)
-    assert (first == attention.windows([np.append(ids, end)], end, end + 1)[0]).all()
-    last = lm_score.window_at(cutter, [w.encode() for w in words], 38)
-    tail = np.append(cutter.ids([b"word38", b"word39"]), end)
-    assert (last[: len(tail)] == tail).all() and (last[len(tail) :] == end + 1).all()
-    assert (lm_score.window_at(cutter, [], 0)[attention.PAST : attention.PAST + 2] == end).all()
+def test_op9_learns_from_every_id_of_training_texts_and_scores_by_windows(spark, monkeypatch):
+    """Each training id is a target once; scores are those of the fitted weights, id by id down the tree, at whole precision."""
+    df = small(spark).select("doc_id", "text").limit(60).unionByName(docs_of(spark, [(20_000, "one two " * 4_000), (20_001, ""), (20_002, None), (20_003, "x" * 3_000)]).select("doc_id", "text"))
+    fitted = []
+
+    def spy(train, model, run=lm_score.fit):
+        fitted.append((model, run(train, model)))
+
+    monkeypatch.setattr(lm_score, "fit", spy)
+    rows = lm_score.score_texts(df).collect()
+    model, learned = fitted[0]
+    seqs = dict(zip([r.doc_id for r in rows], seqs_of([r.text or "" for r in rows])))
+    assert learned == sum(len(seqs[r.doc_id]) for r in rows if not r.held_out)
+    p, tree = {k: v.astype(np.float64) for k, v in model.p.items()}, model.tree
+    end, pad = model.pad - 1, model.pad
+    for r in sorted(rows, key=lambda r: len(seqs[r.doc_id]))[:25]:
+        ids, total = [end, *seqs[r.doc_id].tolist()], 0.0
+        for at in range(1, len(ids)):
+            first = (at - 1) // attention.NEW * attention.NEW  # the window's scored ids begin after this one
+            seen = [(j, ids[j]) for j in range(max(0, first - attention.PAST), at)]
+            x = np.array([p["e"][i] + p["pos"][j - first + attention.PAST] for j, i in seen])
+            weigh = np.exp(np.clip(x @ p["k"] @ (x[-1] @ p["q"]) / np.sqrt(attention.DIM), -30, 30))
+            state = np.tanh(np.concatenate([weigh @ (x @ p["v"]) / weigh.sum(), x[-1]]) @ p["t"] + p["c"])
+            for d in range(tree.depth[ids[at]]):
+                node, branch = tree.node[d, ids[at]], tree.branch[d, ids[at]]
+                z = state @ p["o"][node] + p["b"][node]
+                total += (z[branch] - np.log(np.exp(z).sum())) / np.log(10)
+        assert r.score == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
+def test_op9_windows_in_parts_are_the_windows():
+    r = np.random.default_rng(4)
+    seqs = [r.integers(0, 300, n) for n in (1, 24, 25, 4_000, 7)]
+    whole = attention.windows(seqs, 299, 300)
+    parts = list(attention.window_parts(seqs, 299, 300, most=10))
+    assert max(map(len, parts)) == 10 and (np.concatenate(parts) == whole).all()
+    targets = whole[:, attention.PAST + 1 :]
+    assert (targets[targets != 300] == np.concatenate(seqs)).all()
 
 
 def test_op9_cut_words_one_by_one_or_together():
