@@ -119,6 +119,23 @@ def test_op5_ties_nulls_and_duplicates(spark):
     assert again == {(q, i + 1): x for q, found in got.items() for i, x in enumerate(found)}
 
 
+def test_op5_vectors_of_many_widths(spark):
+    """One stray vector of 100,000 components, empty ones, and widths around the rotated part."""
+    rnd = random.Random(8)
+    vec = {i: [rnd.uniform(-2, 2) for _ in range(rnd.choice([0, 1, 3, 20, topk.ROTATED - 1, topk.ROTATED + 40]))] for i in range(240)}
+    vec |= {300: [rnd.uniform(-1, 1) for _ in range(100_000)], 301: [rnd.uniform(-1, 1) for _ in range(100_000)]}
+    got = {}
+    for r in topk.top_products(spark.createDataFrame(list(vec.items()), "vec_id long, embedding array<double>"), every=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    ints = {i: [math.floor(1024 * x) for x in v] for i, v in vec.items()}
+    assert set(got) == {i for i in vec if i % 20 == 0}
+    for q in got:
+        want = sorted((-sum(map(int.__mul__, ints[q], ints[i])), i) for i in vec if i != q)[:10]
+        assert got[q] == [(i, -s) for s, i in want]
+    only = topk.top_products(spark.createDataFrame([(0, []), (1, []), (2, None)], "vec_id long, embedding array<double>")).collect()
+    assert [tuple(r) for r in only] == [(0, 1, 1, 0)]
+
+
 def test_op5_many_blocks_and_large_components(spark):
     rnd = np.random.default_rng(9)
     x = rnd.normal(size=(3_000, 6)) * rnd.choice([0.1, 1, 30], size=(3_000, 1))
