@@ -427,6 +427,14 @@ def test_op10_edges(spark):
 
 
 # --- 1 lines
+def test_op1_null_hosts_and_repeated_rows(spark):
+    """Null hosts are one host, apart from the empty one; repeated rows are pages of their own; null texts stay."""
+    rows = [(1, None, "menu\nfirst"), (2, None, " menu\nsecond"), (3, "", "menu\nthird"), (4, "h", "same\nrow"), (4, "h", "same\nrow"), (5, None, None), (6, "h", "")]
+    found = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "id long, host string, text string"))
+    got = sorted(((r.id, r.text, r.n_lines, r.n_dropped) for r in found.collect()), key=str)
+    assert got == [(1, "first", 2, 1), (2, "second", 2, 1), (3, "menu\nthird", 2, 0), (4, "", 2, 2), (4, "", 2, 2), (5, None, 0, 0), (6, "", 1, 0)]
+
+
 def test_op1_ratio_and_blank_lines(spark):
     texts = [f"menu \n\nbody {i}\nfoot" if i % 2 else f"menu\nbody {i}" for i in range(40)] + [None, ""]
     got = {r.doc_id: r for r in line_dedup.drop_boilerplate(docs_of(spark, texts), host_col="source").collect()}
