@@ -54,23 +54,32 @@ class Tree:
             for d, (number, b) in enumerate(ways[i]):
                 self.node[d, i], self.branch[d, i] = number, b
 
-    def levels(self, ids: np.ndarray):
-        """Per depth: the places in ``ids`` whose way is that long, by node; their branches; and (node, from, to) of each node."""
-        yield slice(None), self.branch[0, ids], [(0, 0, len(ids))]
+    def deeper(self, ids: np.ndarray):
+        """Steps of ``ids`` below the root, sorted by node: the places in ``ids`` by depth, the order that sorts these
+        end to end, the nodes met, where each one's steps begin and end, and the branch of each step."""
+        at = np.flatnonzero(self.depth.take(ids) > 1)
+        places, level = [], ids.take(at)
+        nodes, branches = [self.node[0, :0]], [self.branch[0, :0]]
         for d in range(1, len(self.node)):
-            deep = np.flatnonzero(self.depth[ids] > d)
-            if not len(deep):
-                return
-            at = self.node[d, ids[deep]]
-            order = np.argsort(at, kind="stable")
-            deep, at = deep[order], at[order]
-            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
-            yield deep, self.branch[d, ids[deep]], [(int(at[a]), a, b) for a, b in zip(edges[:-1], edges[1:])]
+            places.append(at)
+            nodes.append(self.node[d].take(level))
+            branches.append(self.branch[d].take(level))
+            more = np.flatnonzero(self.depth.take(level) > d + 1)
+            at, level = at.take(more), level.take(more)
+        node = np.concatenate(nodes)
+        order = np.argsort(node, kind="stable")
+        node = node.take(order)
+        starts = np.flatnonzero(np.diff(node, prepend=-1))
+        spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(node)]))
+        return places, order, node.take(starts), spans, np.concatenate(branches).take(order)
 
 
 CAUSAL = (np.arange(WIDE)[None, :] <= np.arange(NEW)[:, None] + PAST).astype(np.float32)
-ONES = np.ones(FAN, np.float32)
 SCALE = np.float32(DIM**-0.5)
+#: Columns of what is linear in an embedding: query, key, the id's own part of the output layer, and the value seen through it.
+Q, K, OWN, V = (slice(i * DIM, (i + 1) * DIM) for i in range(4))
+BLOCK = 1024  # rows of branches that stay in the processor's caches
+SUM = np.ones((FAN, 1), np.float32)
 
 
 class Attention:
@@ -91,123 +100,180 @@ class Attention:
         }
         self.s = {k: np.full_like(v, START) for k, v in self.p.items()}
 
+    def ways(self) -> np.ndarray:
+        """From an embedding to its query, key, own part of the output layer and value, side by side."""
+        p = self.p
+        return np.concatenate([p["q"] * SCALE, p["k"], p["t"][DIM:], p["v"] @ p["t"][:DIM]], axis=1)
+
+    def laid(self, e: np.ndarray, w: np.ndarray):
+        """For embeddings ``e`` and for places of a window, all that is linear in them by ``w``, and a one that counts an id in the attention's sum."""
+        lay = lambda x, one: np.concatenate([x @ w, np.full((len(x), 1), one, np.float32)], axis=1)
+        rows, places = lay(e, 1), lay(self.p["pos"], 0)
+        places[:, OWN] += self.p["c"]
+        return rows, places
+
     def prepare(self) -> None:
-        """Lays out per id, for scoring, all that is linear in its embedding; the weights must not change any more.
-
-        A row holds the query, the key, the value seen through the output layer, a one that
-        counts the id in the attention's sum, and the id's own part of the output layer.
-        """
-        p, self.s = self.p, {}
-        ways = (p["q"] * SCALE, p["k"], p["v"] @ p["t"][:DIM], p["t"][DIM:])
-        lay = lambda x, one: np.concatenate([x @ ways[0], x @ ways[1], x @ ways[2], np.full((len(x), 1), one, np.float32), x @ ways[3]], axis=1)
-        self.rows, self.places = lay(p["e"], 1), lay(p["pos"], 0)
-        self.rows[self.pad, 2 * DIM : 2 * DIM + HIDDEN + 1] = 0
-        self.places[:, 2 * DIM + HIDDEN + 1 :] += p["c"]
+        """Lays out all ids, for scoring; the weights must not change any more."""
+        self.s = {}
+        self.rows, self.places = self.laid(self.p["e"], self.ways())
+        self.out = self.branches(slice(None))
 
-    def states(self, ids: np.ndarray) -> np.ndarray:
-        """``hidden``, by what ``prepare`` laid out."""
-        y = self.rows[ids]
-        real = y[:, :, 2 * DIM + HIDDEN : 2 * DIM + HIDDEN + 1].copy()
-        y += self.places
-        y[:, :, 2 * DIM : 2 * DIM + HIDDEN + 1] *= real
-        a = y[:, PAST:, :DIM] @ y[:, :, DIM : 2 * DIM].transpose(0, 2, 1)
+    def branches(self, nodes) -> np.ndarray:
+        """Weights of the branches of ``nodes``, under them their bias."""
+        return np.concatenate([self.p["o"][nodes], self.p["b"][nodes][:, None]], axis=1)
+
+    def attend(self, ids: np.ndarray, rows: np.ndarray, places: np.ndarray, which: np.ndarray):
+        """States by ``rows`` (``which`` of them stands at each place of ``ids``) and ``places``, and what their gradient needs."""
+        y = rows.take(which, axis=0)
+        y += places
+        pads = np.flatnonzero(ids.ravel() == self.pad)
+        y.reshape(-1, y.shape[2])[pads, V.start :] = 0
+        a = y[:, PAST:, Q] @ y[:, :, K].transpose(0, 2, 1)
         np.clip(a, -30, 30, out=a)
         np.exp(a, out=a)
         a *= CAUSAL
-        c = a @ y[:, :, 2 * DIM : 2 * DIM + HIDDEN + 1]
-        r = c[:, :, :HIDDEN] / (c[:, :, HIDDEN:] + np.float32(1e-20))
-        r += y[:, PAST:, 2 * DIM + HIDDEN + 1 :]
-        return np.tanh(r, out=r).reshape(-1, HIDDEN)
+        c = a @ y[:, :, V.start :]
+        share = 1 / (c[:, :, HIDDEN:] + np.float32(1e-20))
+        c = c[:, :, :HIDDEN] * share
+        r = c + y[:, PAST:, OWN]
+        return np.tanh(r, out=r).reshape(-1, HIDDEN), (y, pads, a, c, share)
+
+    def states(self, ids: np.ndarray) -> np.ndarray:
+        """``hidden``, by what ``prepare`` laid out."""
+        return self.attend(ids, self.rows, self.places, ids)[0]
 
     def hidden(self, ids: np.ndarray):
-        """State at each of the last NEW places of the windows ``ids``, and what its gradient needs."""
-        p = self.p
-        x = p["e"][ids] + p["pos"]
-        last = x[:, PAST:]
-        q, k, v = last @ p["q"] * SCALE, x @ p["k"], x @ p["v"]
-        a = q @ k.transpose(0, 2, 1)
-        np.clip(a, -30, 30, out=a)
-        np.exp(a, out=a)
-        a *= CAUSAL
-        a *= (ids != self.pad)[:, None, :]
-        c = a @ v
-        total = (a.reshape(-1, WIDE) @ np.ones(WIDE, np.float32)).reshape(len(a), NEW, 1) + np.float32(1e-20)
-        c /= total
-        h = np.concatenate([c, last], axis=2).reshape(-1, 2 * DIM)
-        r = np.tanh(h @ p["t"] + p["c"])
-        return r, (x, q, k, v, a, total, h)
-
-    def logs(self, r: np.ndarray, node: int, branch: np.ndarray) -> np.ndarray:
-        """Log probability that states ``r`` at one node take ``branch``."""
-        z = r @ self.p["o"][node]
-        z += self.p["b"][node]
-        taken = z[np.arange(len(z)), branch]
-        np.exp(z, out=z)
-        return taken - np.log(z @ ONES)
-
-    def log10_of(self, r: np.ndarray, targets: np.ndarray, block: int = 4096) -> np.ndarray:
-        """log10 probability of the id ``targets`` of each state of ``r``; in blocks that stay in the processor's caches."""
-        out = np.empty(len(targets), np.float32)
-        for i in range(0, len(r), block):
-            out[i : i + block] = self.logs(r[i : i + block], 0, self.tree.branch[0, targets[i : i + block]])
-        for places, branch, nodes in self.tree.levels(targets):
-            if isinstance(places, slice):  # the root
-                continue
-            mine, value = r[places], np.empty(len(branch), np.float32)
-            for node, lo, hi in nodes:
-                value[lo:hi] = self.logs(mine[lo:hi], node, branch[lo:hi])
-            out[places] += value
-        return out * np.float32(1 / np.log(10))
+        """State at each of the last NEW places of the windows ``ids``, and what its gradient needs.
+
+        An id that occurs at many places is laid out once."""
+        flat = ids.ravel().astype(np.uint16 if self.pad < 1 << 16 else np.int32)  # two bytes are sorted by digits
+        order = np.argsort(flat, kind="stable")
+        at = flat.take(order).astype(np.int64)
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        which = np.empty(len(at), np.int64)
+        which[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(at)))
+        kinds, w = at.take(starts), self.ways()
+        e, which = self.p["e"].take(kinds, axis=0), which.reshape(ids.shape)
+        r, met = self.attend(ids, *self.laid(e, w), which)
+        return r, (order, starts, kinds, which, e, w, *met)
+
+    def log10_of(self, r: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """log10 probability of the id ``targets`` of each state of ``r``."""
+        out = self.out if hasattr(self, "out") else self.branches(slice(None))
+        r = np.concatenate([r, np.ones((len(r), 1), np.float32)], axis=1)
+        base = np.arange(BLOCK) * FAN
+
+        def logs(z, branch):
+            taken = z.ravel().take(base[: len(z)] + branch)
+            np.exp(z, out=z)
+            return taken - np.log(z @ SUM).ravel()
+
+        first, value = self.tree.branch[0].take(targets), np.empty(len(targets), np.float32)
+        for i in range(0, len(r), BLOCK):
+            value[i : i + BLOCK] = logs(r[i : i + BLOCK] @ out[0], first[i : i + BLOCK])
+        places, order, nodes, spans, branch = self.tree.deeper(targets)
+        if spans:
+            mine, z, deep = r.take(np.concatenate(places).take(order), axis=0), np.empty((len(order), FAN), np.float32), np.empty(len(order), np.float32)
+            for node, (lo, hi) in zip(nodes.tolist(), spans):
+                np.dot(mine[lo:hi], out[node], out=z[lo:hi])
+            for i in range(0, len(z), BLOCK):
+                deep[order[i : i + BLOCK]] = logs(z[i : i + BLOCK], branch[i : i + BLOCK])
+            for at in places:
+                value[at] += deep[: len(at)]
+                deep = deep[len(at) :]
+        return value * np.float32(1 / np.log(10))
+
+    def tree_gradients(self, r: np.ndarray, targets: np.ndarray):
+        """Gradients of the loss of ``targets``: of their states ``r``, and the nodes met with those of their branches and bias."""
+        places, order, nodes, spans, branch = self.tree.deeper(targets)
+        met = np.concatenate([[0], nodes.astype(np.int64)])
+        out = self.branches(met)
+        back = np.ascontiguousarray(out[:, :HIDDEN].transpose(0, 2, 1))
+        go, dr = np.zeros_like(out), np.empty((len(r), HIDDEN), np.float32)
+        r = np.concatenate([r, np.ones((len(r), 1), np.float32)], axis=1)
+        line = np.arange(max(BLOCK, len(order)))
+
+        def errors(z, branch):
+            np.exp(z, out=z)
+            z *= 1 / (z @ SUM)
+            z[line[: len(z)], branch] -= 1
+            return z
+
+        first = self.tree.branch[0].take(targets)
+        for i in range(0, len(r), BLOCK):
+            mine = r[i : i + BLOCK]
+            z = errors(mine @ out[0], first[i : i + BLOCK])
+            go[0] += mine.T @ z
+            np.dot(z, back[0], out=dr[i : i + BLOCK])
+        if spans:
+            mine, z, deep = r.take(np.concatenate(places).take(order), axis=0), np.empty((len(order), FAN), np.float32), np.empty((len(order), HIDDEN), np.float32)
+            for j, (lo, hi) in enumerate(spans, 1):
+                np.dot(mine[lo:hi], out[j], out=z[lo:hi])
+            errors(z, branch)
+            flipped, moved = mine.T, np.empty_like(deep)
+            for j, (lo, hi) in enumerate(spans, 1):
+                np.dot(flipped[:, lo:hi], z[lo:hi], out=go[j])
+                np.dot(z[lo:hi], back[j], out=moved[lo:hi])
+            deep[order] = moved
+            for at in places:
+                dr[at] += deep[: len(at)]
+                deep = deep[len(at) :]
+        return dr, met, go
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> dict:
         """Gradients of the summed loss of the places of weight 1: dense, or (rows, gradient of them)."""
-        p = self.p
-        r, (x, q, k, v, a, total, h) = self.hidden(ids)
+        p, n = self.p, len(ids)
+        r, (order, starts, kinds, which, e, w, y, pads, a, c, share) = self.hidden(ids)
         used = np.flatnonzero(weight)
-        dr, met, gos, gbs = np.zeros_like(r), [], [], []
-        for places, branch, nodes in self.tree.levels(targets[used]):
-            places = used[places]
-            mine, back = r[places], np.empty((len(places), HIDDEN), np.float32)
-            for node, lo, hi in nodes:
-                o = p["o"][node]
-                z = np.exp(mine[lo:hi] @ o + p["b"][node])
-                z /= (z @ ONES)[:, None]
-                z[np.arange(hi - lo), branch[lo:hi]] -= 1
-                met.append(node)
-                gos.append(mine[lo:hi].T @ z)
-                gbs.append(z.sum(axis=0))
-                back[lo:hi] = z @ o.T
-            dr[places] += back
-        dt = dr * (1 - r * r)
-        g = {"t": h.T @ dt, "c": dt.sum(axis=0), "o": (met, np.stack(gos)), "b": (met, np.stack(gbs))}
-        dh = (dt @ p["t"].T).reshape(len(ids), NEW, 2 * DIM)
-        a = a / total
-        dc = np.ascontiguousarray(dh[:, :, :DIM])
-        da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dq, dk = ds @ k * SCALE, ds.transpose(0, 2, 1) @ q
-        flat = lambda y: y.reshape(-1, DIM)
-        g["q"], g["k"], g["v"] = flat(x[:, PAST:]).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, PAST:] += dh[:, :, DIM:] + dq @ p["q"].T
-        g["pos"] = dx.sum(axis=0)
-        order = np.argsort(ids.ravel(), kind="stable")
-        at = ids.ravel()[order]
-        starts = np.flatnonzero(np.diff(at, prepend=-1))
-        g["e"] = (at[starts], np.add.reduceat(flat(dx)[order], starts))
+        if len(used) == len(r):
+            dr, met, go = self.tree_gradients(r, targets)
+        else:
+            dr = np.zeros_like(r)
+            dr[used], met, go = self.tree_gradients(r.take(used, axis=0), targets.take(used))
+        dt = r * r
+        np.subtract(1, dt, out=dt)
+        dt *= dr
+        g = {"c": np.ones(len(dt), np.float32) @ dt, "o": (met, go[:, :HIDDEN]), "b": (met, go[:, HIDDEN])}
+        dt = dt.reshape(n, NEW, HIDDEN)
+        dc = np.empty((n, NEW, HIDDEN + 1), np.float32)
+        np.multiply(dt, share, out=dc[:, :, :HIDDEN])
+        c *= dc[:, :, :HIDDEN]
+        dc[:, :, HIDDEN] = -(c.reshape(-1, HIDDEN) @ SUM[:HIDDEN]).reshape(n, NEW)
+        ds = dc @ y[:, :, V.start :].transpose(0, 2, 1)
+        ds *= a
+        dy = np.empty((n, WIDE, w.shape[1]), np.float32)
+        dy[:, :PAST, Q] = dy[:, :PAST, OWN] = 0
+        dy[:, PAST:, OWN] = dt
+        np.matmul(ds, y[:, :, K], out=dy[:, PAST:, Q])
+        np.matmul(ds.transpose(0, 2, 1), y[:, PAST:, Q], out=dy[:, :, K])
+        np.matmul(a.transpose(0, 2, 1), dc[:, :, :HIDDEN], out=dy[:, :, V])
+        dy = dy.reshape(len(dy) * WIDE, -1)
+        dy[pads, V] = 0
+        x = e.take(which, axis=0)
+        x += p["pos"]
+        dw = (dy.T @ x.reshape(-1, DIM)).T
+        g["q"], g["k"], g["v"] = dw[:, Q] * SCALE, dw[:, K], dw[:, V] @ p["t"][:DIM].T
+        g["t"] = np.concatenate([p["v"].T @ dw[:, V], dw[:, OWN]])
+        dx = dy @ w.T
+        g["pos"] = (np.ones(n, np.float32) @ dx.reshape(n, -1)).reshape(WIDE, DIM)
+        g["e"] = (kinds, np.add.reduceat(dx.take(order, axis=0), starts))
         return g
 
     def learn(self, windows: np.ndarray) -> int:
         """One Adagrad step by the mean gradient over the places of ``windows``; how many these are."""
         ids, targets = windows[:, :WIDE], windows[:, PAST + 1 :].ravel()
         weight = targets != self.pad
-        n = int(weight.sum())
+        n = int(np.count_nonzero(weight))
         if n:
             for name, g in self.gradients(ids, targets, weight).items():
                 rows, g = g if isinstance(g, tuple) else (slice(None), g)
-                g = g / np.float32(n)
-                self.s[name][rows] += g * g
-                self.p[name][rows] -= np.float32(RATE) * g / np.sqrt(self.s[name][rows])
+                g = g * np.float32(1 / n)
+                s = g * g
+                s += self.s[name][rows]
+                self.s[name][rows] = s
+                g *= np.float32(RATE)
+                g /= np.sqrt(s, out=s)
+                self.p[name][rows] -= g
         return n
 
     def score(self, windows: np.ndarray, block: int = 64) -> np.ndarray:

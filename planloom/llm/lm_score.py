@@ -17,16 +17,13 @@ squared gradients that the tasks saw of it.
 from __future__ import annotations
 
 import base64
-import math
 import pickle
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,15 +31,14 @@ from pyspark.sql import types as T
 
 from planloom.llm.attention import Attention, window_parts
 from planloom.llm.columns import table, without
-from planloom.llm.tokens import byte_texts
 from planloom.sources.scratch import discard, stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the vocabulary's own splitter cuts a word before merging: letters, digits and the rest apart.
 PATTERN = r""" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOP_WORDS = 150_000  # at most this many counts travel with the tasks
-CACHE_WORDS = 300_000
-COUNTER_WORDS = 200_000
+COUNT_BYTES, CUT_BYTES = 16 << 20, 8 << 20  # of texts that are counted, and cut, at a time
+CUT_WORDS = 2_000  # words that are cut by one call
 ROUNDS = 4
 STEP, POOL = 128, 8_192  # windows of an Adagrad step, and windows among which steps are drawn
 GROUP_BYTES = 2 << 20  # of a row group of staged ids, so that few large files still make many tasks
@@ -98,61 +94,33 @@ class Cutter:
         return np.array([i for c in each for i in c], np.int32), np.array([len(c) for c in each])
 
 
-class Slots(dict):
-    """Words met by a worker: slot number by word, with the word's log-count and subword ids in arrays."""
+def pieces_of(column: pa.Array, most: int) -> Iterator[pa.Array]:
+    """``column`` in slices of whole texts of some ``most`` bytes, a longer text alone; null becomes the empty text."""
+    texts = column.cast(pa.large_string()).fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
 
-    def __init__(self, cutter: Cutter, top: dict[bytes, float]):
-        super().__init__()
-        self.cutter, self.top = cutter, top
-        self.reset()
 
-    def reset(self):
-        self.clear()
-        self.log, self.start, self.size, self.flat = array("d"), array("q"), array("q"), array("i")
-
-    def add(self, words: list[bytes]) -> None:
-        """Slots for ``words``, none of which has one."""
-        ids, size = self.cutter.cut(words)
-        self.start.frombytes((np.cumsum(size) - size + len(self.flat)).astype(np.int64).tobytes())
-        self.size.frombytes(size.astype(np.int64).tobytes())
-        self.flat.frombytes(ids.tobytes())
-        self.log.extend([self.top.get(w, math.nan) for w in words])
-        self.update(zip(words, range(len(self), len(self) + len(words))))
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        found = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            self.add(list(dict.fromkeys([words[i] for i in new])))
-            found[new] = [self[words[i]] for i in new]
-        return found
-
-    def logs(self, slots: np.ndarray) -> np.ndarray:
-        return np.frombuffer(self.log, np.float64)[slots] if len(slots) else np.zeros(0)
-
-    def ids(self, slots: np.ndarray) -> np.ndarray:
-        if not len(slots):
-            return np.zeros(0, np.int32)
-        size = np.frombuffer(self.size, np.int64)[slots]
-        ends = np.cumsum(size)
-        return np.frombuffer(self.flat, np.int32)[np.repeat(np.frombuffer(self.start, np.int64)[slots] - ends + size, size) + np.arange(ends[-1])]
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of ``texts`` end to end, A-Z lowered, and how many each text has. Arrow cuts where ``bytes.split`` does."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    size, words = np.diff(found.offsets.to_numpy()).astype(np.int64), found.flatten()
+    real = pc.binary_length(words).to_numpy() > 0  # a blank at either end of a text leaves an empty word there
+    if not real.all():
+        size = np.bincount(np.repeat(np.arange(len(size)), size)[real], minlength=len(size))
+        words = words.filter(pa.array(real))
+    return words, size
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def rows():
-        out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-        counts.clear()
-        return out
-
     for batch in batches:
-        for text in byte_texts(batch.column("text")):
-            counts.update(text.lower().split())
-            if len(counts) > COUNTER_WORDS:
-                yield rows()
-    if counts:
-        yield rows()
+        for texts in pieces_of(batch.column("text"), COUNT_BYTES):
+            found = words_of(texts)[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], ["word", "n"])
 
 
 def _count_ids(vocabulary):
@@ -181,8 +149,8 @@ def _learn(shared):
             return sum(model.learn(found[i : i + STEP]) for i in range(0, len(found), STEP))
 
         for batch in batches:
-            for text in batch.column("ids"):
-                for part in window_parts([staged_ids(text)], model.pad - 1, model.pad):
+            for seqs in several(batch.column("ids")):
+                for part in window_parts(seqs, model.pad - 1, model.pad):
                     pool.append(part)
                     held += len(part)
                     if held >= POOL:
@@ -247,63 +215,73 @@ def _cut(vocabulary, shared, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, end_log = shared.value
+        top = top[0].cast(pa.large_binary()), top[1]
         cutter = Cutter(vocabulary.value)
-        slots = Slots(cutter, dict(zip(top[0].to_pylist(), top[1].tolist())))
-        last = np.uint16(cutter.enc.n_vocab).tobytes()
+        last = cutter.enc.n_vocab
 
-        def results(part: pa.RecordBatch) -> pa.RecordBatch:
+        def results(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
             n = part.num_rows
-            n_tokens, known, base = np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            tails, ids = [()] * n, []
-            for i, text in enumerate(byte_texts(part.column("_text"))):
-                words = text.lower().split()
-                s = slots.of(words)
-                log = slots.logs(s)
-                far = np.isnan(log)
-                n_tokens[i] += len(words)
-                known[i] = len(words) - far.sum()
-                base[i] = log[~far].sum() + end_log
-                if far.any():
-                    tails[i] = tuple(Counter(words[j] for j in np.flatnonzero(far)).items())
-                ids.append(slots.ids(s).astype(np.uint16).tobytes() + last)
-                if len(slots) > CACHE_WORDS:
-                    slots.reset()
-            offsets = np.cumsum([0, *map(len, tails)]).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array([w for t in tails for w, _ in t], pa.binary()), pa.array([k for t in tails for _, k in t], pa.int64())], ["word", "tf"])
+            words, size = words_of(texts)
+            told = words.dictionary_encode()
+            kinds, at = told.dictionary.cast(pa.large_binary()), told.indices.to_numpy()
+            text = np.repeat(np.arange(n), size)
+            # counts: words that only the count table knows are told by text
+            place = pc.index_in(kinds, value_set=top[0]).fill_null(-1).to_numpy()
+            far = (place < 0)[at]
+            log = np.append(top[1], 0.0)[place][at]
+            base = np.bincount(text, log, minlength=n) + end_log
+            known = size - np.bincount(text[far], minlength=n)
+            keys, tf = np.unique(text[far] * len(kinds) + at[far], return_counts=True)
+            tails = np.searchsorted(keys, np.arange(n + 1) * len(kinds)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([kinds.take(pa.array(keys % max(1, len(kinds)))).cast(pa.binary()), pa.array(tf)], ["word", "tf"])
+            # ids: each kind is cut once; a text is its words' ids and the end
+            kinds = kinds.to_pylist()
+            cuts = [cutter.cut(kinds[i : i + CUT_WORDS]) for i in range(0, len(kinds), CUT_WORDS)]
+            flat = np.concatenate([np.array([last], np.int32), *(ids for ids, _ in cuts)]).astype(np.uint16)
+            many = np.concatenate([np.ones(1, np.int64), *(each for _, each in cuts)])
+            begin = np.cumsum(many) - many
+            ends = np.cumsum(size)
+            at = np.insert(at + 1, ends, 0)  # kind 0 is the end of a text
+            many, begin = many[at], begin[at]
+            upto = np.cumsum(many)
+            ids = flat.take(np.arange(upto[-1]) + np.repeat(begin - upto + many, many))
+            offsets = np.append(0, upto[ends + np.arange(n)]) * 2
+            ids = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
             return pa.RecordBatch.from_arrays(
-                [part.column(i) for i in range(len(names))] + [pa.array(n_tokens), pa.array(known), pa.array(base), pa.ListArray.from_arrays(offsets, pairs), pa.array(ids, pa.binary())],
+                [part.column(i) for i in range(len(names))] + [pa.array(size + 1), pa.array(known), pa.array(base), pa.ListArray.from_arrays(tails, pairs), ids],
                 [*names, "n_tokens", "known", "base", "tail", "ids"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                yield results(batch.slice(i, 256))
+            done = 0
+            for texts in pieces_of(batch.column("_text"), CUT_BYTES):
+                yield results(batch.slice(done, len(texts)), texts)
+                done += len(texts)
 
     return run
 
 
+def several(column: pa.Array, most: int = 60_000) -> Iterator[list[np.ndarray]]:
+    """The staged ids of texts, for some ``most`` ids at a time."""
+    seqs, held = [], 0
+    for text in column:
+        seqs.append(staged_ids(text))
+        held += len(seqs[-1])
+        if held > most:
+            yield seqs
+            seqs, held = [], 0
+    if seqs:
+        yield seqs
+
+
 def _score(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            waiting, seqs, held = [], [], 0
-
-            def flush():
-                nonlocal held
+            scores = [np.zeros(0)]
+            for seqs in several(batch.column("ids")):
                 value = np.concatenate([model.score(w) for w in window_parts(seqs, model.pad - 1, model.pad)]).astype(np.float64)
-                score[waiting] = np.add.reduceat(value, np.cumsum([0, *map(len, seqs[:-1])]))
-                waiting.clear(), seqs.clear()
-                held = 0
-
-            for i, text in enumerate(batch.column("ids")):
-                seqs.append(staged_ids(text))
-                waiting.append(i)
-                held += len(seqs[-1])
-                if held > 60_000:
-                    flush()
-            if waiting:
-                flush()
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(score)], [*names, "score"])
+                scores.append(np.add.reduceat(value, np.cumsum([0, *map(len, seqs[:-1])])))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(np.concatenate(scores))], [*names, "score"])
 
     return run
 

@@ -5,10 +5,12 @@ import math
 import os
 import random
 import sys
+import types
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,6 +410,82 @@ def test_op9_gradients_and_prepared_tables():
     assert np.allclose(m.score(rows), direct, atol=1e-4)
 
 
+def test_op9_words_are_cut_and_told_in_slices_of_any_size(monkeypatch):
+    """Arrow cuts words where ``bytes.split`` does; ids, counts and rare words of a text do not depend on its slice."""
+    r = random.Random(3)
+    signs = ["a", "Z", "\u00c9", "\u00e9", "\u0130", "\u00a0", "\u0085", "\x1c", "\x1f", "\x00", "\U0001f600", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\r"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(12))) for _ in range(600)] + [None, "", "  ", "ab " * 500, "c"]
+    words = [(t or "").encode().lower().split() for t in texts]
+    cutter, share = lm_score.Cutter(VOCAB), types.SimpleNamespace
+    counts = Counter(w for part in words for w in part)
+    logs = {w: -float(i + 1) for i, (w, _) in enumerate(counts.most_common(20))}
+    shared = share(value=((pa.array(list(logs), pa.binary()), np.array(list(logs.values()))), -0.5))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(texts)], ["at", "text", "_text"])
+    for most in (1, 40, 1 << 20):
+        monkeypatch.setattr(lm_score, "COUNT_BYTES", most)
+        monkeypatch.setattr(lm_score, "CUT_BYTES", most)
+        found = Counter()
+        for part in lm_score._count_words(iter([batch])):
+            for w, n in zip(*(c.to_pylist() for c in part.columns)):
+                found[w] += n
+        assert found == counts
+        parts = list(lm_score._cut(share(value=VOCAB), shared, ["at"])(iter([batch.select(["at", "_text"])])))
+        rows = [row for part in parts for row in part.to_pylist()]
+        assert [row["at"] for row in rows] == list(range(len(texts))) and (len(parts) == 1) == (most == 1 << 20)
+        for row, part in zip(rows, words):
+            assert np.frombuffer(row["ids"], np.uint16).tolist() == [i for w in part for i in lm_score.subwords(cutter.enc, w)] + [cutter.enc.n_vocab]
+            assert row["n_tokens"] == len(part) + 1 and row["known"] == sum(w in logs for w in part)
+            assert row["base"] == pytest.approx(sum(logs.get(w, 0) for w in part) - 0.5)
+            assert len(row["tail"]) == len(set(part) - set(logs)) and {t["word"]: t["tf"] for t in row["tail"]} == Counter(w for w in part if w not in logs)
+
+
+def test_op9_gradients_lay_out_an_id_once_and_equal_those_of_every_place(monkeypatch):
+    """Against plain products at every place, with and without places that pad, in blocks of any size."""
+    m, r = small_model(n=2_000)
+    for size in (96, 100, 5):
+        rows = attention.windows([r.integers(0, 40, size), r.integers(0, 2_000, size)], 1_999, 2_000)
+        ids, targets = rows[:, : attention.WIDE], rows[:, attention.PAST + 1 :].ravel()
+        weight = targets != m.pad
+        p = {k: v.astype(np.float64) for k, v in m.p.items()}
+        e, go, gb, gt = np.zeros_like(p["e"]), np.zeros_like(p["o"]), np.zeros_like(p["b"]), np.zeros_like(p["t"])
+        states, kept = m.hidden(ids)
+        for at in np.flatnonzero(weight):
+            back = np.zeros(attention.HIDDEN)
+            for d in range(m.tree.depth[targets[at]]):
+                node, s = m.tree.node[d, targets[at]], states[at].astype(np.float64)
+                z = np.exp(s @ p["o"][node] + p["b"][node])
+                z /= z.sum()
+                z[m.tree.branch[d, targets[at]]] -= 1
+                go[node] += np.outer(s, z)
+                gb[node] += z
+                back += p["o"][node] @ z
+            dt = back * (1 - s * s)
+            i, j = divmod(at, attention.NEW)
+            ok = np.flatnonzero(ids[i, : attention.PAST + j + 1] != m.pad)
+            x = p["e"][ids[i, ok]] + p["pos"][ok]
+            q = x[-1] @ p["q"] / np.sqrt(attention.DIM)
+            a = np.exp(x @ p["k"] @ q)
+            a /= a.sum()
+            v = x @ p["v"]
+            gt += np.outer(np.concatenate([a @ v, x[-1]]), dt)
+            dc = p["t"][: attention.DIM] @ dt
+            ds = a * (v @ dc - a @ v @ dc)
+            dx = np.outer(ds, p["k"] @ q) + np.outer(a, p["v"] @ dc)
+            dx[-1] += p["t"][attention.DIM :] @ dt + p["q"] @ (ds @ (x @ p["k"])) / np.sqrt(attention.DIM)
+            np.add.at(e, ids[i, ok], dx)
+        for block in (7, 1_024):
+            monkeypatch.setattr(attention, "BLOCK", block)
+            g = m.gradients(ids, targets, weight)
+            for name, plain in (("e", e), ("o", go), ("b", gb)):
+                mine = np.zeros_like(plain)
+                assert len(set(g[name][0].tolist())) == len(g[name][0])
+                mine[g[name][0]] = g[name][1]
+                assert np.allclose(mine, plain, rtol=1e-3, atol=1e-3), name
+            assert np.allclose(g["t"], gt, rtol=1e-3, atol=1e-3)
+            one = m.log10_of(states[weight], targets[weight])
+            assert np.allclose([m.log10_of(states[[i]], targets[[i]])[0] for i in np.flatnonzero(weight)], one, atol=1e-5)
+
+
 def test_op9_windows_score_each_place_once():
     seqs = [np.arange(1), np.arange(1, 18), np.arange(18, 100)]
     rows = attention.windows(seqs, 200, 201)
