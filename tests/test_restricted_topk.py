@@ -26,3 +26,12 @@ def test_equals_sql(spark, tmp_path, name):
     want = duckdb.execute(sql)
     names = [x[0] for x in want.description]
     assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_cosine_topk_meets_vectors_of_every_label(spark, tmp_path):
+    rows = "(20, 1, [1.0, 0.0]), (21, 1, [0.0, 1.0]), (22, 2, [2.0, 0.1]), (23, null, [1.0, 0.0]), (40, null, [0.0, 3.0]), (41, 7, [0.0, 0.0])"
+    duckdb.execute(f"copy (select i::bigint as vec_id, l as label, e::float[] as embedding from (values {rows}) t(i, l, e)) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    got = QUERIES["cosine_topk"](spark, str(tmp_path)).select("q", "rank", "doc", "score").orderBy("q", "rank").collect()
+    assert [(r.q, r["rank"], r.doc) for r in got] == [(20, 1, 23), (20, 2, 22), (20, 3, 21), (40, 1, 21), (40, 2, 22), (40, 3, 20)]
+    want = duckdb.execute(ORACLE_SQL["cosine_topk"].replace("from embeddings", f"from '{tmp_path}/embeddings.parquet'")).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
